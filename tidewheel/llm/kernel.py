@@ -102,7 +102,8 @@ def word_spans(data: np.ndarray, doc_bytes: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends
 
 
-def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of ``data``, which holds bytes or code points."""
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
@@ -111,13 +112,22 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         piece = data[low : ends[to - 1]]
         power, inverse = _power_tables(len(piece) + 1)
         total = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[piece] * power[: len(piece)], out=total[1:], dtype=np.uint64)
+        value = _BYTE_VALUE[piece] if piece.dtype == np.uint8 else mix(piece.astype(np.uint64) + np.uint64(1))
+        np.cumsum(value * power[: len(piece)], out=total[1:], dtype=np.uint64)
         s, e = starts[at:to] - low, ends[at:to] - low
         out[at:to] = (total[e] - total[s]) * inverse[s]
         at = to
     return mix(out)
 
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of 64-bit values; stretches may overlap."""
+    power, inverse = _power_tables(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * power[: len(values)], out=total[1:], dtype=np.uint64)
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def tokenize(texts: pa.Array) -> Words:
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     if texts.null_count:
@@ -125,7 +135,7 @@ def tokenize(texts: pa.Array) -> Words:
     doc_bytes, data = buffers(pc.utf8_lower(texts.cast(pa.large_string())))
     starts, ends = word_spans(data, doc_bytes)
     offsets = np.searchsorted(starts, doc_bytes)
-    return Words(_hash_spans(data, starts, ends), starts, ends, offsets, data, doc_bytes)
+    return Words(hash_spans(data, starts, ends), starts, ends, offsets, data, doc_bytes)
 
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

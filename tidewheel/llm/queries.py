@@ -6,19 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import ngram_join
+from tidewheel.llm import bpe, langid, media, ngram_join, packing, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_language(_table(spark, sf_dir, "documents"))
+
+
+def op10_sound_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.fingerprint_media(media.sound_of(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack_documents": op1_pack_documents,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_bpe": op4_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_language_id": op9_language_id,
+    "op10_sound_fingerprints": op10_sound_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
