@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewheel.llm import bpe, langid, media, ngram_join, packing, quality, suffix_dedup
+from tidewheel.llm import ann, bpe, langid, licenses, media, ngram_join, packing, quality, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +22,28 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is the quality label under its number."""
+    marks = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), marks)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -44,8 +59,11 @@ def op10_sound_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_documents": op1_pack_documents,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_license_scan": op3_license_scan,
     "op4_bpe": op4_bpe,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_sound_fingerprints": op10_sound_fingerprints,
