@@ -1,0 +1,66 @@
+import pytest
+
+from tidewheel.llm import url_filter as U
+
+PAGES = "page_id long, url string, html string"
+LABELS = "page_id long, good int"
+
+
+def run(spark, urls, marks=(), **k):
+    pages = spark.createDataFrame([(i, u, "") for i, u in urls], PAGES).selectExpr("*", "1 AS host", "2 AS path", "3 AS template", "4 AS n")
+    return {r.page_id: r for r in U.filter_urls(pages, spark.createDataFrame(list(marks), LABELS), **k).collect()}
+
+
+@pytest.mark.parametrize("url, host, path", [
+    ("HTTPS://u:p@WWW.Ex.com:80/A/123.html?q=1#f", "ex.com", ["a", "<num>.html"]), ("http://ex.com", "ex.com", []), ("ex.com/a", None, []),
+    ("http://a.b/2024-01-02/deadbeef01/x", "a.b", ["<date>", "<hex>", "x"]), ("http://a.b//my-long-title-of-post/", "a.b", ["<slug>"]),
+    ("http://a.b/123e4567-e89b-12d3-a456-426614174000", "a.b", ["<uuid>"]), ("mailto:x@y", None, []),
+])
+def test_host_and_shape(spark, url, host, path):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(url,)], "u string").select(U.host_of(F.col("u")).alias("h"), U.shaped_path(F.col("u")).alias("p")).first()
+    assert row.h == host and (row.p == path or host is None)
+
+
+def test_bad_branch_is_rejected(spark):
+    urls = [(k, f"http://h.com/news/{k}") for k in range(30)] + [(100 + k, f"http://h.com/casino/{k}") for k in range(30)]
+    marks = [(k, 1) for k in range(30)] + [(100 + k, 0) for k in range(20)]
+    rows = run(spark, urls, marks)
+    assert all(rows[k].template == "/news/<num>" and not rows[k].rejected for k in range(30))
+    assert all(rows[100 + k].template == "/casino/<num>" and rows[100 + k].rejected for k in range(30))
+    prior = 30 / 50
+    assert rows[100].purity == round(4 * prior / 24, 6) and rows[0].purity == round((30 + 4 * prior) / 34, 6) and rows[100].labelled == 20
+
+
+def test_like_branches_merge(spark):
+    urls = [(k, f"http://h.com/{('en', 'fr')[k % 2]}/{k}") for k in range(20)]
+    assert {r.template for r in run(spark, urls, [(k, 1) for k in range(20)]).values()} == {"/{en|fr}/<num>"}
+
+
+def test_rare_values_become_a_star(spark):
+    urls = [(k, f"http://h.com/user/name{chr(97 + k)}x/profile") for k in range(26)] + [(100 + k, "http://h.com/user/main/profile") for k in range(40)]
+    rows = run(spark, urls)
+    assert {r.template for k, r in rows.items() if k < 100} <= {"/user/*/profile", "/user/{*|main}/profile"}
+
+
+def test_odd_rows(spark):
+    rows = [(None, "http://h.com/1"), (1, None), (2, ""), (3, "no host"), (4, "http://h.com/1"), (4, "http://h.com/1")]
+    pages = spark.createDataFrame([(a, b, None) for a, b in rows], PAGES)
+    labels = spark.createDataFrame([(4, 1), (4, 0), (None, 0), (3, None)], LABELS)
+    got = U.filter_urls(pages, labels).collect()
+    assert len(got) == 6 and all(not r.rejected for r in got)
+    assert sorted(str(r.page_id) for r in got if r.host is None) == ["1", "2", "3"]
+    assert all(r.purity is None for r in U.filter_urls(pages, labels.where("false")).collect())
+    assert U.filter_urls(pages.where("false"), labels).count() == 0
+
+
+def tree_by_hand(rows):
+    return {r[0]: t for r, t in ((r, U.templates(rows)[r[0]]) for r in rows)}
+
+
+def test_counts_add_up():
+    rows = [(("a", "<num>"), 5, 4, 4), (("b", "<num>"), 6, 4, 4), (("c",), 2, 2, 0), ((), 1, 0, 0)]
+    got = tree_by_hand(rows)
+    assert got[("a", "<num>")] == got[("b", "<num>")] == ("/{a|b}/<num>", 11, 8, 8)
+    assert got[("c",)] == ("/c", 2, 2, 0) and got[()][0] == "/"

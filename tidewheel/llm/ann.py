@@ -237,6 +237,8 @@ def _answer_group(member_id: np.ndarray, members: np.ndarray, member_lists: list
     if not rows:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
     pair = np.unique(np.concatenate(rows) * len(members) + np.concatenate(cols))
+    if not len(pair):
+        return pair, pair, np.zeros(0)
     row, col = pair // len(members), pair % len(members)
     d = np.concatenate([((queries[row[p : p + 65536]].astype(np.float64) - members[col[p : p + 65536]]) ** 2).sum(1) for p in range(0, len(row), 65536)])
     order = np.lexsort((member_id[col], d, row))
