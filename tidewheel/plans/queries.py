@@ -314,7 +314,7 @@ def fallback_only_items(t: Tables) -> DataFrame:
 
 def _documents(t: Tables) -> DataFrame:
     lines = F.split("text", "\n", 2)
-    return t.raw("documents").select(F.col("doc_id").alias("item_id"), lines[0].alias("title"), F.get(lines, F.lit(1)).alias("summary"))
+    return t.raw("documents").select(F.col("doc_id").alias("item_id"), lines[0].alias("title"), F.substring(F.get(lines, F.lit(1)), 1, udfs.SUMMARY_CHARS).alias("summary"))
 
 
 @query("SELECT doc_id AS item_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 25 AS BIGINT) AS batch, CASE WHEN (row_number() OVER (ORDER BY doc_id) - 1) // 25 < 30 THEN 'llm' ELSE 'fallback' END AS route FROM documents")
