@@ -31,6 +31,15 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g") -> S
     return spark
 
 
+def visible(spark: SparkSession) -> None:
+    """Lets Python workers that share this file system import the package, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
