@@ -193,3 +193,43 @@ def digest_reply(text: str) -> tuple[str, list[str], str]:
         raise ValueError("empty title or body")
     return title.strip(), [b.strip() for b in tldr if b.strip()], body.strip()
 
+
+
+# --- pipelines ---------------------------------------------------------------------------------------------
+
+
+def quality_gate(keywords: DataFrame, limit: int = 60) -> None:
+    """Raises where a keyword is longer than ``limit``."""
+    from tidewheel.operators.checks import long_keywords, require
+
+    require(long_keywords(keywords, limit))
+
+
+def grouped(keywords: DataFrame) -> DataFrame:
+    """item_id, keywords in rank order."""
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "keyword")))
+    return keywords.groupBy("item_id").agg(F.transform(ordered, lambda x: x["keyword"]).alias("keywords"))
+
+
+def extract_new(items: DataFrame, keywords: DataFrame, rules, model: Callable[[list[dict]], str] | None = None, budget: int | None = None) -> DataFrame:
+    """Keywords of items that have none, under the rules; of equal ones of an item the first by rank stays, so ranks may have gaps."""
+    from tidewheel.operators.rules import canonical
+    from tidewheel.operators.store import first_wins
+
+    found = canonical(extract(untagged(items, keywords), model, budget=budget), rules)
+    return first_wins(found, ["item_id", "keyword", "method"], "rank")
+
+
+def backfill(items: DataFrame, keywords: DataFrame, model: Callable[[list[dict]], str], budget: int | None = None) -> DataFrame:
+    """A model's keywords, as they come, for items that so far have only the fallback's."""
+    again = items.join(fallback_only(keywords), "item_id", "left_semi")
+    return extract(again, model, budget=budget).where("method = 'llm'")
+
+
+def renormalize(items: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with summaries cleaned anew, keywords without those of changed items)."""
+    from tidewheel.operators.ingest import renormalized
+    from tidewheel.operators.store import deleted, rewritten
+
+    changed = renormalized(items)
+    return rewritten(items, changed, ["item_id"], ["summary"]), deleted(keywords, changed, ["item_id"])

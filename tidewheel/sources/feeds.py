@@ -299,3 +299,53 @@ class FeedPayloads(DataSource):
 
     def simpleStreamReader(self, schema) -> FeedStream:
         return FeedStream(dict(self.options))
+
+
+# --- transports ----------------------------------------------------------------------------------------------
+
+
+class Refused(OSError):
+    """A response that isn't a success."""
+
+    def __init__(self, status: int, retry_after: float | None = None) -> None:
+        super().__init__(f"HTTP {status}")
+        self.status, self.retry_after = status, retry_after
+
+
+def retrying(get: Callable[[str], bytes], attempts: int = 3, sleep: Callable[[float], None] | None = None, cap: float = 30.0) -> Callable[[str], bytes]:
+    """``get`` tried again after 429, 5xx and broken connections, 1, 2, 4 ... seconds apart or as the server asks; other refusals end it."""
+    import time
+
+    pause = sleep or time.sleep
+
+    def again(url: str) -> bytes:
+        for k in range(attempts):
+            try:
+                return get(url)
+            except OSError as e:
+                status = getattr(e, "status", None)
+                last = k == attempts - 1 or (status is not None and status != 429 and status < 500)
+                if last:
+                    raise
+                asked = getattr(e, "retry_after", None)
+                pause(min(cap, 2.0**k if asked is None else asked))
+        raise OSError("no attempt")
+
+    return again
+
+
+class Conditional:
+    """Remembers validators of each address: an unchanged feed is answered by an empty one."""
+
+    def __init__(self, get: Callable[[str, dict[str, str]], tuple[int, dict[str, str], bytes]]) -> None:
+        self._get, self._known = get, {}
+
+    def __call__(self, url: str) -> bytes:
+        status, headers, body = self._get(url, self._known.get(url, {}))
+        if status == 304:
+            return b"<rss><channel/></rss>"
+        if status >= 400:
+            raise Refused(status)
+        known = {"If-None-Match": headers.get("etag"), "If-Modified-Since": headers.get("last-modified")}
+        self._known[url] = {k: v for k, v in known.items() if v}
+        return body
