@@ -11,7 +11,7 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(f(F.col("v")).alias("r")).first().r
 
 
-@pytest.mark.parametrize("raw, out", [("  Gen AI  ", "gen ai"), ("gen   ai", "gen ai"), ("AI!!", "ai"), ('"quoted"', '"quoted'), ("dbt,", "dbt"), ("   ", ""), ("foo !", "foo "), ("a  b", "a b"), ("!!!", ""), (None, None)])
+@pytest.mark.parametrize("raw, out", [("foo !", "foo "), ("   ", ""), ("\t Data  Lake ", "data lake"), ("Lake!!", "lake"), ("'so said'", "'so said"), ("dbt,", "dbt"), ("a  b", "a b"), ("!!!", ""), (None, None)])
 def test_normalize_keyword(spark, raw, out):
     assert one(spark, raw, text.normalize_keyword) == out
 
@@ -66,7 +66,7 @@ def test_trailing_window_over_clock_changes(instant, start, end):
 
 def test_recent_days_tile():
     days = timewin.recent_days(at("2026-07-08T13:00"), 3)
-    assert [d.key for d in days] == ["2026-07-07", "2026-07-06", "2026-07-05"] and all(a.start == b.end for a, b in zip(days, days[1:]))
+    assert " ".join(d.key for d in days) == "2026-07-07 2026-07-06 2026-07-05" and all(a.start == b.end for a, b in zip(days, days[1:]))
     assert timewin.recent_days(at("2026-07-08T13:00"), 0) == []
 
 

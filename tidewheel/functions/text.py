@@ -32,7 +32,7 @@ def strip_tags(c: Column) -> Column:
 
 
 def valid_slug(c: Column) -> Column:
-    return c.rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*$")
+    return c.rlike("^([a-z0-9]+-)*[a-z0-9]+$")
 
 
 def digest_slug(digest_id: Column, kind: Column) -> Column:
@@ -105,7 +105,7 @@ def error_class(error: Column) -> Column:
         .when(code.rlike("^5"), F.lit("http_5xx"))
         .when(any_of("unparseable feed", "malformed"), F.lit("unparseable"))
         .when(any_of("ssl", "tls", "certificate"), F.lit("tls"))
-        .when(any_of("connection re(fused|set)", "network is unreachable", "time(d out|out)", "name or service not known", "no route to host"), F.lit("connection"))
+        .when(any_of("no route to host|network is unreachable", "name or service not known", "connection re(fused|set)", "time(d out|out)"), F.lit("connection"))
         .otherwise(F.lit("other"))
     )
 

@@ -14,7 +14,7 @@ ISO = "yyyy-MM-dd'T'HH:mm:ssxxx"
 
 
 def to_iso(instant: datetime) -> str:
-    return instant.astimezone(UTC).replace(microsecond=0).isoformat()
+    return instant.astimezone(UTC).isoformat(timespec="seconds")
 
 
 def from_iso(text: str) -> datetime:
@@ -101,9 +101,7 @@ def next_run(instant: datetime, daily_exists: bool, hour: int = 5, zone: str = Z
     return datetime.combine(local.date() + timedelta(days=1), time(hour), ZoneInfo(zone)).astimezone(UTC)
 
 
-# --- columns ---------------------------------------------------------------------------------------
-
-
+# columns
 def iso_column(at: Column) -> Column:
     return F.date_format(at, ISO)
 

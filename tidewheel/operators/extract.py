@@ -181,7 +181,7 @@ def score_predictions(predicted: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
-def digest_reply(text: str) -> tuple[str, list[str], str]:
+def digest_reply(text: str):
     """(title, bullets, body) of a model's digest; anything else raises ValueError."""
     data = json.loads(text)
     if not isinstance(data, dict):
@@ -190,14 +190,12 @@ def digest_reply(text: str) -> tuple[str, list[str], str]:
     if not (isinstance(title, str) and isinstance(body, str) and isinstance(tldr, list) and all(isinstance(b, str) for b in tldr)):
         raise ValueError("wrong fields")
     if not title.strip() or not body.strip():
-        raise ValueError("empty title or body")
-    return title.strip(), [b.strip() for b in tldr if b.strip()], body.strip()
+        raise ValueError("nothing to say")
+    return title.strip(), list(filter(None, map(str.strip, tldr))), body.strip()
 
 
 
-# --- pipelines ---------------------------------------------------------------------------------------------
-
-
+# pipelines
 def quality_gate(keywords: DataFrame, limit: int = 60) -> None:
     """Raises where a keyword is longer than ``limit``."""
     from tidewheel.operators.checks import long_keywords, require

@@ -180,9 +180,7 @@ def coverage_rollup(rows: DataFrame) -> DataFrame:
     )
 
 
-# --- items browser -----------------------------------------------------------------------------------
-
-
+# items browser
 def numbered(items: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """A global row number without one task for all rows.
 

@@ -38,9 +38,7 @@ def shown(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
-# --- trends ------------------------------------------------------------------------------------------
-
-
+# trends
 @query("SELECT * FROM cloud")
 def keyword_cloud(t: Tables) -> DataFrame:
     return trends.cloud(t.items, t.keywords, RULES, WEEK, BEFORE_WEEK, limit=20)
@@ -148,9 +146,7 @@ def keyword_normalize(t: Tables) -> DataFrame:
     return canonical(t.raw("part").select("p_partkey", "p_name", noisy.alias("keyword")), RULES)
 
 
-# --- items browser ---------------------------------------------------------------------------------------
-
-
+# items browser
 def _recent(t: Tables) -> DataFrame:
     return t.items.where((F.col("published_at") >= F.lit("1998-04-09 13:00:00").cast("timestamp")) & (F.col("published_at") < F.lit(INSTANT)))
 
@@ -176,9 +172,7 @@ def item_filter(t: Tables) -> DataFrame:
     return tagged.where(text.matches_filter(F.col("kind"), F.col("source_id"), F.col("tags"), want_kind="1-URGENT", want_keyword=" RING ")).select("item_id")
 
 
-# --- history ---------------------------------------------------------------------------------------------
-
-
+# history
 @query(f"""SELECT source_id, attempts, ok_attempts, empty_attempts, failed_attempts, successful_attempts, last_status, {stamp('last_started_at')} AS last_started_at, {stamp('last_successful_at')} AS last_successful_at,
   {stamp('last_failed_at')} AS last_failed_at, last_error, last_rung, total_items_new, latest_items_new, consecutive_failures, error_class, flagged FROM health_rows""")
 def source_health(t: Tables) -> DataFrame:
@@ -231,9 +225,7 @@ def error_classes(t: Tables) -> DataFrame:
     return t.log.select("seq", "error", text.error_class(F.col("error")).alias("class"), F.when(F.col("error").isNotNull(), text.coarse_error(F.col("error"))).alias("coarse"))
 
 
-# --- digests ---------------------------------------------------------------------------------------------
-
-
+# digests
 def _digest_rows(t: Tables) -> DataFrame:
     return digest.inputs(t.items, t.keywords, t.sources, t.groups, RULES, WEEK, BEFORE_WEEK)
 
@@ -299,9 +291,7 @@ def chips_json(t: Tables) -> DataFrame:
     return chips.select("category", "chips", back.alias("total"))
 
 
-# --- extraction --------------------------------------------------------------------------------------------
-
-
+# extraction
 @query("SELECT item_id FROM items WHERE item_id NOT IN (SELECT item_id FROM keywords WHERE method = 'llm')")
 def untagged_items(t: Tables) -> DataFrame:
     return extract.untagged(t.items.select("item_id"), t.keywords.where("method = 'llm'"))
@@ -343,9 +333,7 @@ def eval_jaccard(t: Tables) -> DataFrame:
     return extract.score_predictions(predicted, expected).agg(F.count(F.lit(1)).alias("items"), F.count("score").alias("scored"), F.round(F.avg("score"), 9).alias("mean"))
 
 
-# --- storage and checks --------------------------------------------------------------------------------------
-
-
+# storage and checks
 @query("""SELECT item_id, seq FROM (SELECT user_id AS item_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 1 AND item_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""")
 def idempotent_insert(t: Tables) -> DataFrame:
     batch = t.raw("events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"))
@@ -382,9 +370,7 @@ def constraint_violations(t: Tables) -> DataFrame:
     )
 
 
-# --- text, URLs, near duplicates ---------------------------------------------------------------------------
-
-
+# text, URLs, near duplicates
 @query("SELECT page_id, sha256('rss' || chr(0) || CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR ELSE url END) AS item_id FROM pages")
 def item_identity(t: Tables) -> DataFrame:
     ext = F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).otherwise(F.lit(""))

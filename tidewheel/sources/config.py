@@ -17,7 +17,7 @@ from tidewheel.operators.rules import Rules
 LOCATOR = {"rss": "url", "youtube": "channel_id", "reddit": "subreddit", "x": "handle"}
 LIVE = {"active", "degraded"}
 STATES = LIVE | {"paywalled", "dead"}
-SLUG = re.compile(r"^[a-z0-9]+(?:-[a-z0-9]+)*$")
+SLUG = re.compile("([a-z0-9]+-)*[a-z0-9]+")
 SOURCES = "source_id string, name string, kind string, url string, url_hash string, group_id string, enabled boolean, config_json string, status string, evidence string, message string, active_url string, raw_enabled boolean"
 GROUPS = "group_id string, name string, category string, enabled boolean, builtin boolean"
 
@@ -39,7 +39,7 @@ def source_row(spec: dict[str, Any], group: str) -> dict[str, Any]:
     config = spec.get("config")
     return {
         "source_id": spec["id"], "name": spec.get("name") or spec["id"], "kind": spec["kind"], "url": url, "url_hash": hashlib.sha256(url.encode()).hexdigest(), "group_id": group,
-        "enabled": state in LIVE, "config_json": None if config is None else json.dumps(config, sort_keys=True, separators=(",", ":")), "status": state,
+        "enabled": state in LIVE, "config_json": None if config is None else json.dumps(config, separators=(",", ":"), sort_keys=True), "status": state,
         "evidence": spec.get("evidence"), "message": spec.get("message"), "active_url": spec.get("active_url"), "raw_enabled": bool(spec.get("enabled", True)),
     }
 
@@ -49,7 +49,7 @@ def problems(files: dict[str, dict[str, Any]], kinds: set[str] | None = None) ->
     found, groups, ids, urls = [], {}, {}, {}
     for name, data in sorted(files.items()):
         group = data.get("group", "")
-        if not SLUG.match(str(group)):
+        if not SLUG.fullmatch(str(group)):
             found.append(f"{name}: group id {group!r} is no slug")
         if group in groups:
             found.append(f"{name}: group {group!r} is also in {groups[group]}")

@@ -122,9 +122,7 @@ def parse_listing(payload: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-# --- addresses and policy ------------------------------------------------------------------------------
-
-
+# addresses and policy
 def checked_address(url: str, plain_hosts: frozenset[str] = frozenset()) -> str:
     """The address in normal form, or ValueError: https (http for listed hosts), no user, usual ports, no address that isn't public."""
     if any(ord(c) < 32 or ord(c) == 127 for c in url):
@@ -150,7 +148,7 @@ def checked_address(url: str, plain_hosts: frozenset[str] = frozenset()) -> str:
 
 def archive_address(url: str) -> str | None:
     parts = urlsplit(url)
-    own = (parts.hostname or "").endswith(".substack.com") and parts.path.rstrip("/") == "/feed"
+    own = (parts.hostname or "").endswith(".substack.com") and parts.path in ("/feed", "/feed/")
     return f"{parts.scheme}://{parts.netloc}/archive" if own else None
 
 
@@ -227,9 +225,7 @@ def fetch_all(sources: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
     return found.withColumn("reason", F.when(F.col("error").isNotNull(), coarse_error(F.col("error"))))
 
 
-# --- data source -----------------------------------------------------------------------------------------
-
-
+# data source
 class _Files(InputPartition):
     def __init__(self, paths: list[str]) -> None:
         super().__init__(paths)
@@ -301,9 +297,7 @@ class FeedPayloads(DataSource):
         return FeedStream(dict(self.options))
 
 
-# --- transports ----------------------------------------------------------------------------------------------
-
-
+# transports
 class Refused(OSError):
     """A response that isn't a success."""
 

@@ -24,14 +24,14 @@ class TranscriptStore:
             raise ValueError(f"{ref!r} leaves the transcript folder")
         return path
 
-    def ensure(self, video_id: str) -> str | None:
+    def ensure(self, video: str) -> str | None:
         """The reference of the transcript; a known one isn't fetched again, a failure is None."""
-        ref = f"{video_id}.txt.gz"
+        ref = f"{video}.txt.gz"
         path = self._path(ref)
         if os.path.exists(path):
             return ref
         try:
-            text = self.fetch(video_id)
+            text = self.fetch(video)
         except Exception:  # the fetcher is foreign code; a transcript is optional
             return None
         if not text:
