@@ -24,6 +24,7 @@ from tidewheel.llm import kernel as K
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEEP = 300_000
+PORTION = 1 << 20
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -207,7 +208,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
         codec = _codec(shared)
         for batch in batches:
             keys, column = batch.columns
-            for a, z in K.chunks(column):
+            for a, z in K.chunks(column, PORTION):
                 part = column.slice(a, z - a)
                 _, raw = K.buffers(part)
                 ids, size = codec.encode(["" if t is None else t for t in part.to_pylist()])
@@ -224,7 +225,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                     [keys.slice(a, z - a), pa.array(size.astype(np.int32)), tokens, pa.array(good, mask=missing)], names=["doc_id", "n_tokens", "tokens", "decoded"]
                 )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = K.lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_tokens int, tokens array<int>, decoded boolean")
 
 

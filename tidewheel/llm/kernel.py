@@ -13,8 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 1 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CHUNK_BYTES = 1 << 18
 _PIECE = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -26,6 +28,19 @@ _WORD_BYTE[ord("A") : ord("Z") + 1] = True
 _WORD_BYTE[128:] = True
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, with settings that keep Python workers and the executors' off-heap buffers small beside long texts.
+
+    Arrow batches of 1,000 rows, unless the session has a size of its own, and allocators that give large arrays back at once.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", "4194304"), ("MALLOC_TRIM_THRESHOLD_", "4194304"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        spark.sparkContext.environment.setdefault(name, value)
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64, elementwise."""
     x = x ^ (x >> np.uint64(30))
@@ -41,7 +56,7 @@ _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, 4 * CHUNK_BYTES)
         for k, base in enumerate((_BASE, _BASE_INV)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

@@ -24,6 +24,7 @@ from tidewheel.llm import kernel as K
 
 DIM = 1024
 BLOCK = 4096
+PORTION = 1 << 20
 MIN_TRIGRAMS = 50
 MIN_COSINE = 0.25
 
@@ -89,7 +90,7 @@ def bundle(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _portions(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    for a, z in K.chunks(column):
+    for a, z in K.chunks(column, PORTION):
         yield a, column.slice(a, z - a).to_pylist()
 
 
@@ -117,7 +118,7 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
             yield pa.record_batch([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["lang", "v"])
 
     schema = "lang string, v binary"
-    known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    known = K.lean(docs).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = known.mapInArrow(sums, schema).repartition("lang").mapInArrow(add, schema).collect()
     found = {r["lang"]: np.frombuffer(r["v"]) for r in rows}
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if np.linalg.norm(v) > 0}

@@ -203,5 +203,5 @@ def scan_licenses(docs: DataFrame, min_coverage: float = MIN_COVERAGE, templates
                         names=["doc_id", "license", "coverage", "start_word", "n_words"],
                     )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = K.lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, license string, coverage double, start_word int, n_words int")

@@ -217,7 +217,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP
     * no labels, or one class only: every text with words has the share of good labels (0.5 if there are none).
     * an empty table gives no rows; further columns, whatever their names, are ignored.
     """
-    forest = train(docs, labels, max_rows)
+    forest = train(K.lean(docs), labels, max_rows)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(forest).alias("score")).select(
         "doc_id", "score", (F.col("score") >= keep_from).alias("keep")
     )
@@ -225,4 +225,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    return docs.where(score(train(docs, labels, max_rows)) >= keep_from)
+    return docs.where(score(train(K.lean(docs), labels, max_rows)) >= keep_from)

@@ -67,7 +67,7 @@ def runs_of_windows(words: K.Words) -> tuple[np.ndarray, ...]:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    return K.lean(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text")
     ).where("text IS NOT NULL")
 
@@ -85,9 +85,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-# --- deep-shallow suffix sorting -------------------------------------------------------------------------
-
-
+# deep-shallow suffix sorting
 def _quicksort(words: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Multikey quicksort of all groups at once: (order, group of each place, LCP with the place before within SHALLOW).
 
