@@ -2,8 +2,8 @@
 
 1. About 4 sqrt(N) centroids by k-means over all vectors; each round a full cluster costs a vector more than an
    empty one, and centroids of very small clusters move into very large ones, so lists stay balanced.
-2. The centroids (they grow with sqrt(N); their bytes are checked against ``CENTROID_BYTES``) and a neighbour graph over them
-   are broadcast.  A beam search in the graph finds the nearest centroids of a batch of vectors at once.
+2. The centroids and a neighbour graph over them are broadcast; they grow with sqrt(N), and their bytes are held
+   under ``CENTROID_BYTES`` (beyond which lists get longer instead).  A beam search in the graph finds the nearest centroids of a batch of vectors at once.
 3. Each vector is posted to its nearest list, and a boundary vector also to others, up to ``REPLICAS`` in all, that are at most
    ``BOUNDARY`` times as far.
 4. A query searches those of the ``BEAM`` lists found whose centroids are at most ``SEARCH_RATIO`` times as far as the nearest.
@@ -66,7 +66,7 @@ class Graph:
         place = np.arange(len(target)) - np.searchsorted(target, target)
         use = place < degree
         back[target[use], place[use]] = source[use]
-        self.links = np.concatenate([near, np.where(back < 0, far[:, :1], back), far], axis=1)
+        self.links = np.concatenate([near, np.where(back < 0, far[:, :1], back), far], axis=1).astype(np.int32)
         self.entries = rng.permutation(n)[: min(n, 32)]
 
     def search(self, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +264,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K_NEAREST) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "vec_id long, neighbours array<long>, distances array<double>")
     dim = len(base.select("embedding").first()["embedding"])
-    count = max(1, min(total, math.ceil(4 * math.sqrt(total)), CENTROID_BYTES // (4 * dim)))
+    count = max(1, min(total, math.ceil(4 * math.sqrt(total)), CENTROID_BYTES // (4 * dim + 4 * (2 * DEGREE + 8))))
     points = centroids(base, count)
     shared = spark.sparkContext.broadcast(Graph(points))
     enough = max(1, math.ceil(4 * (k + 1) * count / total))  # lists that hold a few times k vectors
