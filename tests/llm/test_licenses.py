@@ -78,3 +78,19 @@ def test_all_stated_licenses(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     said = {r.doc_id for r in docs.where("lower(text) RLIKE 'licen[sc]e'").select("doc_id").collect()}
     assert {r.doc_id for r in L.scan_licenses(docs).collect()} == said
+
+
+@pytest.mark.parametrize("text, start", [("Foo bar. All rights reserved.", 2), ("Copyright (c) 2020 The Foo Authors. All rights reserved", 6), ("Copyright. All rights reserved", 0)])
+def test_rights_reserved(make_docs, text, start):
+    rows = found(make_docs, text)
+    assert set(rows) == {"Proprietary"} and (rows["Proprietary"].coverage, rows["Proprietary"].start_word) == (1.0, start)
+    assert not found(make_docs, "Some rights reserved. All of them are left.")
+
+
+def test_all_stated_licenses_and_reservations(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    said = {r.doc_id for r in docs.where("lower(text) RLIKE 'licen[sc]e|all rights reserved'").select("doc_id").collect()}
+    rows = L.scan_licenses(docs).collect()
+    assert {r.doc_id for r in rows} == said
+    reserved = {r.doc_id for r in docs.where("lower(text) RLIKE 'all rights reserved'").select("doc_id").collect()}
+    assert reserved and {r.doc_id for r in rows if r.license == "Proprietary"} == reserved

@@ -57,7 +57,8 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("CC-BY-NC-ND-4.0", "cc nc nd 4", "licensed under CC BY NC ND 4.0"),
     ("CC0-1.0", "cc0", "released under CC0 1.0 Universal"),
     ("Unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
-    ("Proprietary", "reserved", "copyright all rights reserved"),
+    ("Proprietary", "rights reserved", "all rights reserved"),
+    ("Proprietary", "rights reserved", "copyright all rights reserved"),
 )
 
 
