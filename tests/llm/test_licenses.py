@@ -94,3 +94,53 @@ def test_all_stated_licenses_and_reservations(spark):
     assert {r.doc_id for r in rows} == said
     reserved = {r.doc_id for r in docs.where("lower(text) RLIKE 'all rights reserved'").select("doc_id").collect()}
     assert reserved and {r.doc_id for r in rows if r.license == "Proprietary"} == reserved
+
+
+@pytest.mark.parametrize("text, name", [
+    ("Licensed under the GNU General Public License, version 3. See the license file; version 3 of the license applies.", "GPL-3.0"),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License, version 2.0 of the license.", "Apache-2.0"),
+])
+def test_last_words_again_nearby(make_docs, text, name):
+    rows = found(make_docs, text)
+    assert set(rows) == {name} and (rows[name].coverage, rows[name].start_word) == (1.0, 0)
+
+
+def test_statements_side_by_side(make_docs):
+    lesser, general = "licensed under the GNU Lesser General Public License version 3 ", "licensed under the GNU General Public License version 3 "
+    for text, start in ((lesser + general, 10), (general + lesser, 0), (lesser + lesser + general, 20)):
+        rows = found(make_docs, text)
+        assert set(rows) == {"LGPL-3.0", "GPL-3.0"} and rows["GPL-3.0"].coverage == rows["LGPL-3.0"].coverage == 1.0
+        assert rows["GPL-3.0"].start_word == start
+    assert set(found(make_docs, lesser)) == {"LGPL-3.0"}
+
+
+def matched(window, template, needs):
+    """Most words of a common subsequence that holds ``needs``, 0 without one."""
+    ways = {(0, frozenset()): 0}  # (words of the window passed, needed words held): matched words
+    for w in template:
+        for (i, held), n in list(ways.items()):
+            for j in range(i, len(window)):
+                if window[j] == w:
+                    key = (j + 1, held | ({w} & needs))
+                    ways[key] = max(ways.get(key, 0), n + 1)
+    return max((n for (_, held), n in ways.items() if held == needs), default=0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=24), st.lists(st.integers(0, 4), min_size=2, max_size=6), st.data())
+def test_coverage_is_that_of_the_best_window(text, template, data):
+    needs = data.draw(st.sets(st.sampled_from(template), max_size=2))
+    width = max(len(template), int(L.STRETCH * len(template)))
+    most = max((matched(text[a : a + width], template, needs) for a in range(len(text))), default=0)
+    named = [" ".join(f"w{x}" for x in y) for y in (text, sorted(needs), template)]
+    known = L.compiled((("X", named[1], named[2]),))
+    rows = list(L.scan(L.K.tokenize(L.pa.array([named[0]])), known, 0.5))
+    assert [r[2] for r in rows] == ([round(most / len(template), 6)] if most >= 0.5 * len(template) else [])
+    for _, _, _, first, n in rows:
+        assert n <= width and matched(text[first : first + n], template, needs) == most
+
+
+def test_statements_in_a_long_run():
+    text = "licensed under the GNU Lesser General Public License version 3 " * 2000 + "licensed under the GNU General Public License version 3"
+    rows = {r[1]: r for r in L.scan(L.K.tokenize(L.pa.array([text])), L.compiled(), 0.8)}
+    assert set(rows) == {"LGPL-3.0", "GPL-3.0"} and rows["GPL-3.0"][2:] == (1.0, 20000, 9)

@@ -3,10 +3,11 @@
 A template matches where its words occur in order, close together.  Words that are unique in both the text
 and the template are anchors; their longest increasing subsequence is kept, and the gaps between them are aligned
 the same way, a gap without unique words by all its matches (longest increasing subsequence again, which
-is the longest common subsequence).  Coverage is the share of the template's words in the best stretch of text.
+is the longest common subsequence).  Where a stretch holds more or other words than the template, piles that also keep the latest start
+give the longest common subsequence of any stretch.  Coverage is the share of the template's words in the best stretch of text.
 
-Before aligning, a text must hold enough of a template's words and all the words that tell it from others;
-that bound is exact and leaves few texts.  Templates are constants of this module: nothing is joined or shuffled.
+Before aligning, a text must hold enough of a template's words and all the words that tell it from others, and so must a
+stretch of it; that bound is exact and leaves few stretches.  Templates are constants of this module: nothing is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from tidewheel.llm import kernel as K
 
 MIN_COVERAGE = 0.8
 STRETCH = 1.5
+_turn = count()  # tells equal matches of overlapping ranges apart
 
 #: (license, words that must match, notice)
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
@@ -116,14 +120,36 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def best_stretch(places: list[int], words: int) -> tuple[int, int, int]:
-    """(matched words, first, last) of the stretch of at most STRETCH times ``words`` text words with most matches."""
-    width, best, low = max(words, int(STRETCH * words)), (0, 0, 0), 0
-    for high in range(len(places)):
-        while places[high] - places[low] >= width:
-            low += 1
-        if high - low + 1 > best[0]:
-            best = (high - low + 1, places[low], places[high])
+def best_stretch(text: list[int], places: list[int], template: list[int], needs: set[int]) -> tuple[int, int, int]:
+    """(matched words, first, last) of the best match within a stretch of at most ``_width`` words, (0, 0, 0) without one.
+
+    ``text`` are the words of the template at ``places``.  Of all subsequences common to a stretch and the template that hold the words
+    ``needs`` the longest counts; of equally long ones that which ends first, then the shortest.
+    """
+    n, width = len(template), _width(len(template))
+    if len(text) == n and places[-1] - places[0] < width and len(align(text, template)) == n and needs <= set(text):
+        return n, places[0], places[-1]  # word by word, with nothing to choose from
+    at: dict[int, list[int]] = {}
+    for t in reversed(range(n)):
+        at.setdefault(template[t], []).append(t)
+    bit = {w: 1 << i for i, w in enumerate(sorted(needs))}
+    # patience piles by the needed words held, matched words and template words passed: the latest start
+    start = np.full((1 << len(bit), n + 1, n + 1), -1, dtype=np.int64)
+    best = (0, 0, 0)
+    for word, place in zip(text, places):
+        start[0, 0] = place
+        for t in at[word]:  # from the last on, so that a place of the text counts once
+            grown = np.full((len(start), n + 1), -1, dtype=np.int64)
+            grown[:, 1:] = start[:, :-1, t]
+            if b := bit.get(word, 0):
+                masks = np.arange(len(grown))
+                held = masks[masks & b > 0]
+                grown[held] = np.maximum(grown[held], grown[held ^ b])
+                grown[masks & b == 0] = -1
+            start[:, :, t + 1 :] = np.maximum(start[:, :, t + 1 :], grown[:, :, None])
+            fits = np.flatnonzero((grown[-1] >= 0) & (place - grown[-1] < width))
+            if len(fits) and (fits[-1], grown[-1, fits[-1]]) > (best[0], best[1] if best[2] == place else place):
+                best = (int(fits[-1]), int(grown[-1, fits[-1]]), place)
     return best
 
 
@@ -142,42 +168,72 @@ def scan(words: K.Words, templates: list[Template], min_coverage: float) -> Iter
     code = at[hit]
     holds = np.unique(doc)
     count = np.bincount(np.searchsorted(holds, doc) * len(vocabulary) + code, minlength=len(holds) * len(vocabulary)).reshape(len(holds), -1)
-    found: list[tuple[int, int, float, int, int, str]] = []
-    for t in templates:
+    heaps: dict[int, list[tuple]] = {}
+    for k, t in enumerate(templates):
         kinds, times = np.unique(np.searchsorted(vocabulary, t.words), return_counts=True)
         enough = np.minimum(count[:, kinds], times).sum(1) >= min_coverage * len(t.words) - 1e-9
         enough &= (count[:, np.searchsorted(vocabulary, t.needs)] > 0).all(1)
-        own = np.searchsorted(vocabulary, t.words).tolist()
-        needs = set(np.searchsorted(vocabulary, t.needs).tolist())
+        own = np.searchsorted(vocabulary, t.words)
+        needs = np.searchsorted(vocabulary, t.needs)
         for d in holds[enough]:
             low, high = np.searchsorted(doc, (d, d + 1))
             use = np.isin(code[low:high], kinds)
-            place = (hit[low:high][use] - words.offsets[d]).tolist()
-            text = code[low:high][use].tolist()
-            for a, z in _neighbourhoods(place, len(own)):
-                pairs = align(text[a:z], own)
-                n, first, last = best_stretch([place[a + i] for i, _ in pairs], len(own))
-                inside = {text[a + i] for i, _ in pairs if first <= place[a + i] <= last}
-                coverage = round(n / len(own), 6)
-                if coverage >= min_coverage - 1e-9 and needs <= inside:
-                    found.append((int(d), -n, -coverage, int(first), int(last), t.name))
-    taken: dict[int, list[tuple[int, int, str]]] = {}
-    best: dict[tuple[int, str], tuple[float, int, int]] = {}
-    for d, _, coverage, first, last, name in sorted(found):
-        if all(name == other or last < a or first > z for a, z, other in taken.setdefault(d, [])):
-            taken[d].append((first, last, name))
-            best[d, name] = min(best.get((d, name), (0.0, 0, 0)), (coverage, first, last - first + 1))
-    for (d, name), (coverage, first, n) in sorted(best.items()):
-        yield d, name, -coverage, first, n
-
-
-def _neighbourhoods(places: list[int], words: int) -> Iterator[tuple[int, int]]:
-    """Stretches of places that could hold a match: gaps of more than a match's width divide them."""
-    width, a = max(words, int(STRETCH * words)), 0
-    for k in range(1, len(places) + 1):
-        if k == len(places) or places[k] - places[k - 1] >= width:
-            yield a, k
-            a = k
+            heaps.setdefault(int(d), []).extend(_matches(code[low:high][use], hit[low:high][use] - words.offsets[d], own, needs, min_coverage, t.name, k))
+    for d, heap in sorted(heaps.items()):
+        heapify(heap)
+        taken: dict[int, tuple[int, int, str]] = {}  # by word
+        best: dict[str, tuple[float, int, int]] = {}
+        while heap:
+            _, coverage, first, last, name, k, _, _, _, (text, place) = heappop(heap)
+            own = first, last, name
+            cover = next((taken[w] for w in range(first, last + 1) if taken.get(w, own)[2] != name), own)
+            if cover is own:
+                taken.update(dict.fromkeys(range(first, last + 1), own))
+                best[name] = min(best.get(name, (0.0, 0, 0)), (coverage, first, last - first + 1))
+            words_of, needs = (np.searchsorted(vocabulary, v) for v in (templates[k].words, templates[k].needs))
+            for part in (place < cover[0], place > cover[1]):  # further stretches beside the one taken
+                for match in _matches(text[part], place[part], words_of, needs, min_coverage, name, k):
+                    heappush(heap, match)
+        for name, (coverage, first, n) in sorted(best.items()):
+            yield d, name, -coverage, first, n
+
+
+def _matches(text: np.ndarray, places: np.ndarray, template: np.ndarray, needs: np.ndarray, min_coverage: float, name: str, k: int) -> Iterator[tuple]:
+    """The best match of each range of candidates, to be taken in order: most words first; at the end the range itself."""
+    own, least = template.tolist(), min_coverage * len(template) - 1e-9
+    for a, z in _candidates(text, places, template, needs, least):
+        n, first, last = best_stretch(text[a:z].tolist(), places[a:z].tolist(), own, set(needs.tolist()))
+        if n and n >= least:
+            yield -n, -round(n / len(own), 6), first, last, name, k, int(places[a]), z - a, next(_turn), (text[a:z], places[a:z])
+
+
+def _width(words: int) -> int:
+    return max(words, int(STRETCH * words))
+
+
+def _candidates(text: np.ndarray, places: np.ndarray, template: np.ndarray, needs: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Ranges of which one holds each stretch with enough of the template's words and all needed ones.
+
+    Stretches that share words are one range up to a length, so that a text of nothing but notices takes time in proportion.
+    """
+    width = _width(len(template))
+    end = np.searchsorted(places, places + width)
+    enough, held = np.zeros(len(text), dtype=np.int64), np.ones(len(text), dtype=bool)
+    for kind, most in zip(*np.unique(template, return_counts=True)):
+        before = np.concatenate([[0], np.cumsum(text == kind)])
+        count = before[end] - before[:-1]
+        enough += np.minimum(count, most)
+        if kind in needs:
+            held &= count > 0
+    low, high = 0, 0
+    for k in np.flatnonzero(held & (enough >= least)).tolist():
+        if k >= high or places[end[k] - 1] - places[low] >= 4 * width:
+            if high:
+                yield low, high
+            low = k
+        high = int(end[k])
+    if high:
+        yield low, high
 
 
 def scan_licenses(docs: DataFrame, min_coverage: float = MIN_COVERAGE, templates: tuple[tuple[str, str, str], ...] = TEMPLATES) -> DataFrame:
@@ -187,7 +243,7 @@ def scan_licenses(docs: DataFrame, min_coverage: float = MIN_COVERAGE, templates
 
     * null, empty or wordless text: no row.  Very long texts are scanned whole.
     * null ``doc_id``: reported with a null.  Repeated rows: each is reported.
-    * ties of coverage: the earliest stretch, then the shortest.  Coverage equal to ``min_coverage`` matches.
+    * ties of coverage: in a run of overlapping stretches the one that ends first, then the shortest; of several runs the earliest.  Coverage equal to ``min_coverage`` matches.
     * an empty table gives no rows; further columns, whatever their names, are ignored.
     """
     known = compiled(templates)
