@@ -63,3 +63,22 @@ def test_ties_beyond_k(spark):
     df = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(30)], KIND)
     for r in A.nearest_neighbours(df, k=5).collect():
         assert r.neighbours == [i for i in range(30) if i != r.vec_id][:5]
+
+
+def test_recall_with_many_lists():
+    """Isotropic vectors over 4,000 lists, as many as a million vectors have; lists and neighbours as in nearest_neighbours."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, q = A.Graph(x[:4000]), x[-100:]
+    best = np.argsort(A.squared(q, x), axis=1)[:, 1:11]
+    post, e = graph.search(x[best.ravel()])
+    asked, d = graph.search(q, A.searched(4000))
+
+    def recall(n):
+        lists = [set(i[r <= A.SEARCH_RATIO**2 * r[0]].tolist()) for i, r in zip(asked[:, :n], d[:, :n])]
+        own = [set(i[r <= A.BOUNDARY**2 * r[0]].tolist()) for i, r in zip(post[:, : A.REPLICAS], e[:, : A.REPLICAS])]
+        return np.mean([bool(lists[k // 10] & o) for k, o in enumerate(own)])
+
+    assert A.searched(1265) == 65 and A.searched(4000) == 114 and A.searched(9000) > 160
+    assert recall(A.searched(4000)) > recall(A.BEAM) + 0.05

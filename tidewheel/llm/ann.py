@@ -6,7 +6,7 @@
    under ``CENTROID_BYTES`` (beyond which lists get longer instead).  A beam search in the graph finds the nearest centroids of a batch of vectors at once.
 3. Each vector is posted to its nearest list, and a boundary vector also to others, up to ``REPLICAS`` in all, that are at most
    ``BOUNDARY`` times as far.
-4. A query searches those of the ``BEAM`` lists found whose centroids are at most ``SEARCH_RATIO`` times as far as the nearest.
+4. A query searches those of the lists found, ``BEAM`` or ``BEAM_GROWTH`` times the root of the number of lists if that is more, whose centroids are at most ``SEARCH_RATIO`` times as far as the nearest.
    Lists of nearby centroids form groups of about ``GROUP``; a vector travels once to each group it has lists in, as member or as query.
    Each group answers with its best ``k`` for each query, and a second shuffle merges them.
 """
@@ -26,6 +26,7 @@ from tidewheel.session import cut
 K_NEAREST = 10
 ROUNDS = 4
 BEAM = 64
+BEAM_GROWTH = 1.8
 DEGREE = 16
 REPLICAS = 8
 BOUNDARY = 1.25
@@ -111,6 +112,11 @@ class Graph:
         return np.concatenate(out_i), np.concatenate(out_d)
 
 
+def searched(count: int) -> int:
+    """Lists that a query searches of ``count``; with a fixed number recall would fall as tables grow."""
+    return max(BEAM, math.ceil(BEAM_GROWTH * math.sqrt(count)))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) that can be searched: an id, no null or NaN inside, the usual number of components.
 
@@ -269,6 +275,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K_NEAREST) -> DataFrame:
     shared = spark.sparkContext.broadcast(Graph(points))
     enough = max(1, math.ceil(4 * (k + 1) * count / total))  # lists that hold a few times k vectors
     group = groups_of(points)
+    beam = searched(count)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = shared.value
@@ -276,7 +283,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K_NEAREST) -> DataFrame:
             for a in range(0, whole.num_rows, 2048):
                 batch = whole.slice(a, 2048)
                 x = matrix(batch.column(1))
-                ids, d = graph.search(x)
+                ids, d = graph.search(x, beam)
                 post = (d <= BOUNDARY**2 * d[:, :1])[:, :REPLICAS]
                 ask = (d <= SEARCH_RATIO**2 * d[:, :1]) | (np.arange(ids.shape[1]) < enough)
                 for query, chosen in ((False, post), (True, ask)):
