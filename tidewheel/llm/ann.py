@@ -1,19 +1,21 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-1. About 4 sqrt(N) centroids by k-means over all vectors; each round a full cluster costs a vector more than an
-   empty one, and centroids of very small clusters move into very large ones, so lists stay balanced.
-2. The centroids and a neighbour graph over them are broadcast; they grow with sqrt(N), and their bytes are held
-   under ``CENTROID_BYTES`` (beyond which lists get longer instead).  A beam search in the graph finds the nearest centroids of a batch of vectors at once.
-3. Each vector is posted to its nearest list, and a boundary vector also to others, up to ``REPLICAS`` in all, that are at most
-   ``BOUNDARY`` times as far.
-4. A query searches those of the lists found, ``BEAM`` or ``BEAM_GROWTH`` times the root of the number of lists if that is more, whose centroids are at most ``SEARCH_RATIO`` times as far as the nearest.
-   Lists of nearby centroids form groups of about ``GROUP``; a vector travels once to each group it has lists in, as member or as query.
-   Each group answers with its best ``k`` for each query, and a second shuffle merges them.
+1. *Cells.*  ``cell_count(N)`` coarse centres (N^(2/3) / 345) by k-means over all vectors.  The centres and a neighbour
+   graph over them are what is broadcast; a vector goes to the cell of its nearest centre, and a boundary vector also,
+   as a copy, to every cell whose centre is at most ``CELL_RATIO`` times as far.  That is the one shuffle of vectors.
+2. *Lists.*  The vectors at home in a cell are clustered by balanced k-means into lists of about ``LIST``; their
+   centroids are held in a graph in memory.  Every vector that reaches the cell is posted to its nearest list and, at a
+   boundary, to all lists at most ``POST_RATIO`` times as far.
+3. *Search.*  Every vector is a query in its home cell: the graph yields the lists whose centroids are at most
+   ``SEARCH_RATIO`` times as far as the nearest one, and all that is posted there is compared.  Copies stream through in
+   portions, so a task holds its own vectors and one portion.
+
+Distance ratios alone decide about cells and lists; there is no limit on their number, and a floor
+(``LEAST``) for queries that sit on a centroid.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,20 +26,25 @@ from pyspark.sql import functions as F
 from tidewheel.session import cut
 
 K_NEAREST = 10
-ROUNDS = 4
-BEAM = 64
-BEAM_GROWTH = 1.8
-DEGREE = 16
-REPLICAS = 8
-BOUNDARY = 1.25
-SEARCH_RATIO = 1.5
-GROUP = 32
-CENTROID_BYTES = 256 << 20
-SLICE = 1024
+ROUNDS = 3
+CELL_RATIO = 1.1
+POST_RATIO = 1.05
+SEARCH_RATIO = 1.17
+LIST = 128
+LEAST = 8
+DEGREE = 6
+WIDEN = 1.1
+PORTION_BYTES = 16 << 20
+PENDING = 100_000
+
+
+def cell_count(n: int) -> int:
+    """Cells for ``n`` vectors: their number and their size both grow, so neither the broadcast nor a task grows with ``n``."""
+    return max(1, round(n ** (2 / 3) / 345))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
@@ -45,76 +52,105 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
 
 
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the length at the end."""
+    if not len(sorted_values):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
+
+
 class Graph:
-    """Neighbour graph over points, searched by beams of many queries at once."""
+    """Neighbour graph over points; a search gives all points within a ratio of the nearest one's distance.
+
+    A point may have a price, which adds to its squared distances: that of a full list keeps lists balanced.
+    Links come from buckets round about sqrt(n) pivots, each point being in its four nearest buckets; so building takes
+    n^1.5 distances.  The pivots are where every search starts.
+    """
 
-    def __init__(self, points: np.ndarray, seed: int = 7) -> None:
+    def __init__(self, points: np.ndarray, price: np.ndarray | float = 0.0, seed: int = 7) -> None:
         self.points = np.ascontiguousarray(points, dtype=np.float32)
+        self.norms = ((self.points * self.points).sum(1) + price).astype(np.float32)
         n = len(points)
-        degree = min(DEGREE, n - 1)
-        rng = np.random.default_rng(seed)
-        near = np.zeros((n, degree), dtype=np.int64)
-        for a in range(0, n, 1024):
-            d = squared(self.points[a : a + 1024], self.points)
-            d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-            near[a : a + 1024] = np.argpartition(d, degree - 1, axis=1)[:, :degree] if 0 < degree < n else near[a : a + 1024]
-        far = rng.integers(0, n, (n, min(8, n)))
-        back = np.full((n, degree), -1, dtype=np.int64)
-        source = np.repeat(np.arange(n), degree)
-        target = near.ravel()
-        order = np.argsort(target, kind="stable")
-        source, target = source[order], target[order]
-        place = np.arange(len(target)) - np.searchsorted(target, target)
-        use = place < degree
-        back[target[use], place[use]] = source[use]
-        self.links = np.concatenate([near, np.where(back < 0, far[:, :1], back), far], axis=1).astype(np.int32)
-        self.entries = rng.permutation(n)[: min(n, 32)]
-
-    def search(self, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, squared distances) of the ``beam`` nearest points found, nearest first."""
-        n, width = len(self.points), min(beam, len(self.points))
-        norms = (self.points**2).sum(1)
-        out_i, out_d = [], []
-        for a in range(0, len(queries), 512):
-            q = queries[a : a + 512]
+        self.entries = np.random.default_rng(seed).permutation(n)[: int(np.ceil(np.sqrt(n)))]
+        pivots = self.points[self.entries]
+        near = min(4, len(pivots))
+        source, target = [], []
+        buckets = np.concatenate([np.argpartition(squared(self.points[a : a + 4096], pivots), near - 1, axis=1)[:, :near] for a in range(0, n, 4096)]) if n else np.zeros((0, 1), np.int64)
+        order = np.argsort(buckets.ravel(), kind="stable")
+        edges = _runs(buckets.ravel()[order])
+        for a, z in zip(edges[:-1], edges[1:]):
+            own = order[a:z] // near
+            degree = min(DEGREE, len(own) - 1)
+            if degree < 1:
+                continue
+            d = squared(self.points[own], self.points[own])
+            np.fill_diagonal(d, np.inf)
+            best = np.argpartition(d, degree - 1, axis=1)[:, :degree]
+            source.append(np.repeat(own, degree)), target.append(own[best].ravel())
+        if source:
+            s, t = np.concatenate(source), np.concatenate(target)
+            both = np.unique(np.concatenate([s * n + t, t * n + s]))  # both ways, so that every point can be reached
+            s, t = both // n, both % n
+            self.links, self.first = t, np.searchsorted(s, np.arange(n + 1))
+        else:
+            self.links, self.first = np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+
+    def within(self, queries: np.ndarray, ratio: float, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, squared distance) of the points at most ``ratio`` times as far as the nearest, and of the ``least`` nearest met.
+
+        Sorted by query and distance.  A point is expanded while it is within ``WIDEN`` times the ratio of the nearest one met so far.
+        """
+        n, block = len(self.points), 256
+        found: list[tuple[np.ndarray, ...]] = []
+        slot = np.empty(block * n, dtype=np.int32)
+        for low in range(0, len(queries), block):
+            q = queries[low : low + block]
             own = (q * q).sum(1)
-            rows = np.arange(len(q))[:, None]
-            if n <= 2 * beam:
-                ids = np.broadcast_to(np.arange(n), (len(q), n)).copy()
-                d = own[:, None] + norms[None, :] - 2 * (q @ self.points.T)
+            seen = np.zeros(len(q) * n, dtype=bool)
+            row = np.repeat(np.arange(len(q)), len(self.entries))
+            node = np.tile(self.entries, len(q))
+            best = np.full(len(q), np.inf, dtype=np.float32)
+            pool: list[tuple[np.ndarray, ...]] = []
+            while len(row):
+                seen[row * n + node] = True
+                d = np.empty(len(row), dtype=np.float32)
+                for a in range(0, len(row), 65536):
+                    r, p = row[a : a + 65536], node[a : a + 65536]
+                    d[a : a + 65536] = own[r] + self.norms[p] - 2 * np.einsum("ij,ij->i", q[r], self.points[p])
+                np.maximum(d, 0, out=d)
+                pool.append((row, node, d))
+                edges = _runs(row)[:-1]
+                here = row[edges]
+                best[here] = np.minimum(best[here], np.minimum.reduceat(d, edges))
+                # a point that left the range while others came nearer is not expanded
+                use = d <= (WIDEN * ratio) ** 2 * best[row]
+                row, node = row[use], node[use]
+                degree = self.first[node + 1] - self.first[node]
+                start = np.cumsum(degree) - degree
+                at = np.repeat(self.first[node] - start, degree) + np.arange(int(degree.sum()))
+                row, node = np.repeat(row, degree), self.links[at]
+                key = row * n + node
+                fresh = ~seen[key]
+                row, node, key = row[fresh], node[fresh], key[fresh]
+                slot[key] = np.arange(len(key), dtype=np.int32)
+                once = slot[key] == np.arange(len(key), dtype=np.int32)
+                row, node = row[once], node[once]
+                order = np.argsort(row, kind="stable")
+                row, node = row[order], node[order]
+            row, node, d = (np.concatenate([p[k] for p in pool]) for k in range(3)) if pool else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+            if least > 1:
+                order = np.argsort(row.astype(np.uint64) << np.uint64(32) | d.view(np.uint32).astype(np.uint64), kind="stable")
+                row, node, d = row[order], node[order], d[order]
+                use = (d <= ratio * ratio * best[row]) | (np.arange(len(row)) - np.searchsorted(row, row) < least)
+                found.append((row[use] + low, node[use], d[use]))
             else:
-                ids = np.broadcast_to(self.entries, (len(q), len(self.entries))).copy()
-                d = own[:, None] + norms[self.entries][None, :] - 2 * (q @ self.points[self.entries].T)
-                seen = np.zeros((len(q), n), dtype=bool)
-                seen[rows, ids] = True
-                done = np.zeros(ids.shape, dtype=bool)
-                while not done.all():
-                    step = np.argsort(np.where(done, np.inf, d), axis=1, kind="stable")[:, :4]
-                    fresh = ~done[rows, step]
-                    done[rows, step] = True
-                    new = self.links[ids[rows, step]]
-                    new = np.where(fresh[:, :, None], new, self.entries[0]).reshape(len(q), -1)
-                    new.sort(axis=1)
-                    again = np.concatenate([np.zeros((len(q), 1), bool), new[:, 1:] == new[:, :-1]], axis=1) | seen[rows, new]
-                    seen[rows, new] = True
-                    dn = own[:, None] + norms[new] - 2 * np.einsum("qd,qkd->qk", q, self.points[new])
-                    dn = np.where(again, np.inf, dn)
-                    ids, d = np.concatenate([ids, new], axis=1), np.concatenate([d, dn], axis=1)
-                    done = np.concatenate([done, again], axis=1)
-                    best = np.argsort(d, axis=1, kind="stable")[:, :width]
-                    ids, d, done = ids[rows, best], d[rows, best], done[rows, best]
-                    done |= ~np.isfinite(d)
-            best = np.argsort(d, axis=1, kind="stable")[:, :width]
-            out_i.append(ids[rows, best])
-            out_d.append(np.maximum(d[rows, best], 0))
-        if not out_i:
-            return np.zeros((0, width), np.int64), np.zeros((0, width), np.float32)
-        return np.concatenate(out_i), np.concatenate(out_d)
-
-
-def searched(count: int) -> int:
-    """Lists that a query searches of ``count``; with a fixed number recall would fall as tables grow."""
-    return max(BEAM, math.ceil(BEAM_GROWTH * math.sqrt(count)))
+                use = d <= ratio * ratio * best[row]
+                row, node, d = row[use], node[use], d[use]
+                order = np.lexsort((node, d, row))
+                found.append((row[order] + low, node[order], d[order]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -122,141 +158,224 @@ def usable(vectors: DataFrame) -> DataFrame:
 
     Where an id has several vectors the smallest one stands.
     """
-    clean = (
+    clean = cut(
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
         .where("vec_id IS NOT NULL AND size(embedding) > 0")
         .where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-        .groupBy("vec_id")
-        .agg(F.min("embedding").alias("embedding"))
     )
-    kept = cut(clean)
-    usual = kept.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    return kept.where(F.size("embedding") == (usual[0]["dim"] if usual else 0))
+    # only ids are shuffled to learn which of them come more than once
+    again = cut(clean.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"))
+    if not again.isEmpty():
+        several = clean.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        clean = cut(clean.join(again, "vec_id", "left_anti").unionByName(several))
+    usual = clean.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    return clean.where(F.size("embedding") == (usual[0]["dim"] if usual else 0))
 
 
-def _balanced(found: np.ndarray, d: np.ndarray, size: np.ndarray, weight: float) -> np.ndarray:
-    """Of each row the cluster of the least squared distance plus what its fullness costs."""
-    return found[np.arange(len(found)), (d + weight * size[found]).argmin(1)] if len(found) else np.zeros(0, np.int64)
+def centroids(base: DataFrame, count: int, dim: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Balanced k-means over all vectors, from those of the smallest id hashes on.
 
-
-def centroids(base: DataFrame, count: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Balanced k-means over all vectors, from those of the smallest id hashes on."""
+    A full cluster costs a vector more than an empty one, and centres of very small clusters move into very large ones.
+    """
     start = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).toPandas()
     points = np.stack(start["embedding"].to_numpy()).astype(np.float32)
-    dim = points.shape[1]
-    size, weight = np.ones(count), 0.0
+    size, weight = np.ones(len(points)), 0.0
     rng = np.random.default_rng(3)
-    for _ in range(rounds):
+    for _ in range(rounds if len(points) > 1 else 0):
         shared = base.sparkSession.sparkContext.broadcast((Graph(points), size, weight))
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             graph, full, cost = shared.value
-            total = np.zeros((len(full), dim + 2))
+            total: dict[int, np.ndarray] = {}
             for batch in batches:
                 x = matrix(batch.column(0))
-                if not len(x):
+                row, cell, d = graph.within(x, CELL_RATIO)
+                if not len(row):
                     continue
-                ids, d = graph.search(x, 16)
-                own = _balanced(ids, d, full, cost)
-                np.add.at(total, own, np.column_stack([np.ones(len(x)), d[:, 0], x]))
-            touched = [k for k in range(0, len(total), SLICE) if total[k : k + SLICE, 0].any()]
-            yield pa.record_batch([pa.array([k // SLICE for k in touched], pa.int32()), pa.array([total[k : k + SLICE].tobytes() for k in touched], pa.binary())], names=["part", "v"])
+                charge = d + cost * full[cell]
+                order = np.lexsort((charge, row))
+                own = order[_runs(row)[:-1]]
+                by = np.argsort(cell[own], kind="stable")
+                edges = _runs(cell[own][by])
+                values = np.column_stack([np.ones(len(own)), d[own], x[row[own]]])[by]
+                for c, v in zip(cell[own][by][edges[:-1]].tolist(), np.add.reduceat(values, edges[:-1])):
+                    total[c] = total.get(c, 0) + v
+            if total:
+                yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["cell", "v"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
-                for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    total[k] = total.get(k, 0) + np.frombuffer(blob)
-            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "v"])
-
-        total = np.zeros((count, dim + 2))
-        for row in base.select("embedding").mapInArrow(sums, "part int, v binary").repartition("part").mapInArrow(add, "part int, v binary").collect():
-            part = np.frombuffer(row["v"]).reshape(-1, dim + 2)
-            total[row["part"] * SLICE : row["part"] * SLICE + len(part)] = part
+                for c, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    total[c] = total.get(c, 0) + np.frombuffer(blob)
+            if total:
+                yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["cell", "v"])
+
+        total = np.zeros((len(points), dim + 2))
+        for row in base.select("embedding").mapInArrow(sums, "cell int, v binary").repartition("cell").mapInArrow(add, "cell int, v binary").toLocalIterator():
+            total[row["cell"]] = np.frombuffer(row["v"])
         size = total[:, 0].copy()
         some = size > 0
         points = points.copy()
         points[some] = total[some, 2:] / size[some, None]
-        mean = size.sum() / count
         spread = total[:, 1].sum() / max(1.0, size.sum())
-        weight = 0.05 * spread / mean
-        poor, rich = np.flatnonzero(size < mean / 8), np.argsort(-size, kind="stable")
-        rich = rich[size[rich] > 3 * mean][: len(poor)]
-        for p, r in zip(poor[: len(rich)], rich):
-            points[p] = points[r] + rng.normal(0, 0.1 * math.sqrt(max(spread, 1e-12) / dim), dim)
+        weight = 0.05 * spread / size.mean()
+        points = _moved(points, size, spread, rng)
         shared.unpersist()
     return points
 
 
-def groups_of(points: np.ndarray) -> np.ndarray:
-    """A group of about GROUP neighbouring centroids for each centroid, by halving along the widest direction."""
-    out, stack, name = np.zeros(len(points), dtype=np.int64), [np.arange(len(points))], 0
+def _moved(points: np.ndarray, size: np.ndarray, spread: float, rng: np.random.Generator) -> np.ndarray:
+    """Centres of very small clusters go beside those of very large ones."""
+    mean = size.mean()
+    poor, rich = np.flatnonzero(size < mean / 4), np.argsort(-size, kind="stable")
+    rich = rich[size[rich] > 2 * mean][: len(poor)]
+    points[poor[: len(rich)]] = points[rich] + rng.normal(0, 0.1 * np.sqrt(max(spread, 1e-12) / points.shape[1]), (len(rich), points.shape[1]))
+    return points
+
+
+def balanced_lists(x: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, prices) of lists of about ``LIST`` of the vectors: halving at medians, then k-means in which full lists cost more."""
+    stack, groups = [np.arange(len(x))], []
+    rng = np.random.default_rng(5)
     while stack:
         own = stack.pop()
-        if len(own) <= GROUP:
-            out[own] = name
-            name += 1
+        if len(own) <= LIST:
+            groups.append(own)
             continue
-        part = points[own]
-        axis = int(part.var(axis=0).argmax())
-        order = own[np.argsort(part[:, axis], kind="stable")]
-        stack += [order[: len(order) // 2], order[len(order) // 2 :]]
-    return out
-
-
-def _shipments(x: np.ndarray, ids: np.ndarray, chosen: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(row, group, its lists there) for each group that a row has lists in."""
-    row, col = np.nonzero(chosen)
-    lists = ids[row, col]
-    where = group[lists]
-    order = np.lexsort((lists, where, row))
-    row, where, lists = row[order], where[order], lists[order].astype(np.int32)
-    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (where[1:] != where[:-1])])) if len(row) else np.zeros(0, np.int64)
-    ends = np.append(new[1:], len(row))
-    return row[new], where[new], [lists[a:z].tobytes() for a, z in zip(new, ends)]
-
-
-def _flat(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the blob, value) of all 32-bit values."""
-    return np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs]), np.frombuffer(b"".join(blobs), np.int32)
-
-
-def _answer_group(member_id: np.ndarray, members: np.ndarray, member_lists: list[bytes], query_id: np.ndarray, queries: np.ndarray, query_lists: list[bytes], k: int) -> tuple[np.ndarray, ...]:
-    """(query place, member id, squared distance): the best ``k`` members of each query's lists, by distance and id."""
-    who, lists = _flat(member_lists)
-    order = np.argsort(lists, kind="stable")
-    who, lists = who[order], lists[order]
-    asker, asked = _flat(query_lists)
-    rows, cols = [], []
-    for one in np.unique(asked):
-        own = who[np.searchsorted(lists, one) : np.searchsorted(lists, one, side="right")]
-        if not len(own):
-            continue
-        askers = asker[asked == one]
-        for p in range(0, len(askers), 1024):
-            q = askers[p : p + 1024]
-            d = squared(queries[q], members[own])
-            d[query_id[q][:, None] == member_id[own][None, :]] = np.inf
-            limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(own) > k else np.full((len(q), 1), np.inf)
-            r, c = np.nonzero((d <= limit) & np.isfinite(d))  # with all ties
-            rows.append(q[r]), cols.append(own[c])
-    if not rows:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    pair = np.unique(np.concatenate(rows) * len(members) + np.concatenate(cols))
-    if not len(pair):
-        return pair, pair, np.zeros(0)
-    row, col = pair // len(members), pair % len(members)
-    d = np.concatenate([((queries[row[p : p + 65536]].astype(np.float64) - members[col[p : p + 65536]]) ** 2).sum(1) for p in range(0, len(row), 65536)])
-    order = np.lexsort((member_id[col], d, row))
-    row, col, d = row[order], col[order], d[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[rank < k], member_id[col[rank < k]], d[rank < k]
+        a, b = x[own[rng.integers(len(own))]], x[own[rng.integers(len(own))]]
+        for _ in range(2):
+            side = x[own] @ (b - a)
+            order = np.argsort(side, kind="stable")
+            left, right = own[order[: len(own) // 2]], own[order[len(own) // 2 :]]
+            a, b = x[left].mean(0), x[right].mean(0)
+        stack += [left, right]
+    points = np.stack([x[g].mean(0) for g in groups]) if groups else np.zeros((0, x.shape[1]), np.float32)
+    size = np.array([len(g) for g in groups], dtype=np.float64)
+    price, norms = np.zeros(len(points)), (x * x).sum(1)
+    for _ in range(rounds if len(points) > 1 else 0):
+        own, spread = np.empty(len(x), dtype=np.int64), 0.0
+        for a in range(0, len(x), 4096):
+            part = (points * points).sum(1)[None, :] - 2 * (x[a : a + 4096] @ points.T)
+            own[a : a + 4096] = (part + price[None, :]).argmin(1)
+            spread += float((part[np.arange(len(part)), own[a : a + 4096]] + norms[a : a + 4096]).sum())
+        size = np.bincount(own, minlength=len(points)).astype(np.float64)
+        by = np.argsort(own, kind="stable")
+        edges = _runs(own[by])
+        points = points.copy()
+        points[own[by][edges[:-1]]] = np.add.reduceat(x[by], edges[:-1]) / np.diff(edges)[:, None]
+        price = np.maximum(price + 0.02 * spread / len(x) * (size / size.mean() - 1), 0)
+        price -= price.min()
+    return points.astype(np.float32), price.astype(np.float32)
+
+
+class Cell:
+    """The vectors at home in a cell, as queries, with what has been found for them so far."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, np.ascontiguousarray(x), k
+        self.graph = Graph(*balanced_lists(x))
+        count = len(self.graph.points)
+        row, chosen, _ = self.graph.within(x, SEARCH_RATIO, LEAST)
+        self.read = np.bincount(row, minlength=len(x))
+        self.home = chosen[np.searchsorted(row, np.arange(len(x)))] if len(x) else np.zeros(0, np.int64)
+        first = chosen == self.home[row]
+        self.compared = np.zeros(len(x), dtype=np.int64)
+        self.norms = (x * x).sum(1)
+        self.wide = np.column_stack([-2 * x, np.ones(len(x), np.float32)])
+        # the queries of each list: those of which it is the nearest, and the others
+        self.asks = []
+        for use in (first, ~first):
+            by = np.argsort(chosen[use], kind="stable")
+            self.asks.append((row[use][by], np.searchsorted(chosen[use][by], np.arange(count + 1))))
+        self.d = np.full((len(x), k), np.inf)
+        self.found = np.full((len(x), k), np.iinfo(np.int64).max)
+        self.pending: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def offer(self, ids: np.ndarray, members: np.ndarray) -> None:
+        """Post vectors to the lists and compare them with the queries of those."""
+        row, lists, d = self.graph.within(members, POST_RATIO)
+        if len(row):
+            # of further lists those that are no nearer to the first one than to the vector: the others lie behind it
+            nearest = lists[np.searchsorted(row, row)]
+            gap = np.concatenate([((self.graph.points[lists[a : a + 65536]] - self.graph.points[nearest[a : a + 65536]]) ** 2).sum(1) for a in range(0, len(row), 65536)])
+            use = (lists == nearest) | (gap >= d)
+            row, lists = row[use], lists[use]
+        by = np.argsort(lists, kind="stable")
+        row, edges = row[by], np.searchsorted(lists[by], np.arange(len(self.graph.points) + 1))
+        norms = (members * members).sum(1)
+        slack = 1e-5 * (float(norms.max(initial=0)) + self.norms)  # float32 against the exact distances of what was found
+        wide = np.column_stack([members, norms])
+        for asker, cuts in self.asks:
+            for one in range(len(edges) - 1):
+                own, q = row[edges[one] : edges[one + 1]], asker[cuts[one] : cuts[one + 1]]
+                if not len(own) or not len(q):
+                    continue
+                self.compared[q] += len(own)
+                right = wide[own].T
+                step = max(1, (8 << 20) // len(own))
+                for a in range(0, len(q), step):
+                    p = q[a : a + step]
+                    limit = (self.d[p, -1] - self.norms[p] + slack[p]).astype(np.float32)
+                    at = np.flatnonzero(self.wide[p] @ right <= limit[:, None])
+                    if len(at):
+                        self._hold(p[at // len(own)], own[at % len(own)], ids, members)
+            self._settle()
+
+    def _hold(self, q: np.ndarray, m: np.ndarray, ids: np.ndarray, members: np.ndarray) -> None:
+        other = self.ids[q] != ids[m]
+        q, m = q[other], m[other]
+        for a in range(0, len(q), 65536):
+            r, c = q[a : a + 65536], m[a : a + 65536]
+            gap = self.x[r].astype(np.float64) - members[c]
+            d = np.einsum("ij,ij->i", gap, gap)
+            near = d <= self.d[r, -1]
+            self.pending.append((r[near], ids[c[near]], d[near]))
+            self.waiting += int(near.sum())
+        if self.waiting > PENDING:
+            self._settle()
+
+    def _settle(self) -> None:
+        """The best ``k`` of what is held and what waits, by distance and id, each id once."""
+        if not self.waiting:
+            self.pending = []
+            return
+        q, i, d = (np.concatenate([p[k] for p in self.pending]) for k in range(3))
+        self.pending, self.waiting = [], 0
+        rows = np.unique(q)
+        q = np.concatenate([np.repeat(rows, self.k), q])
+        i = np.concatenate([self.found[rows].ravel(), i])
+        d = np.concatenate([self.d[rows].ravel(), d])
+        order = np.lexsort((i, d, q))
+        q, i, d = q[order], i[order], d[order]
+        once = np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])]) | ~np.isfinite(d)
+        q, i, d = q[once], i[once], d[once]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        use = rank < self.k
+        self.d[q[use], rank[use]], self.found[q[use], rank[use]] = d[use], i[use]
+
+    def answers(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.ids), 4096):
+            d, found = self.d[a : a + 4096], self.found[a : a + 4096]
+            real = np.isfinite(d)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(1))]).astype(np.int32))
+            yield pa.record_batch(
+                [
+                    pa.array(self.ids[a : a + 4096]), pa.ListArray.from_arrays(offsets, pa.array(found[real])), pa.ListArray.from_arrays(offsets, pa.array(np.sqrt(d[real]))),
+                    pa.array(self.read[a : a + 4096].astype(np.int32)), pa.array(self.compared[a : a + 4096]),
+                ],
+                names=["vec_id", "neighbours", "distances", "lists_read", "compared"],
+            )
+
+
+RESULT = "vec_id long, neighbours array<long>, distances array<double>, lists_read int, compared long"
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = K_NEAREST) -> DataFrame:
-    """``vec_id, neighbours, distances``: the ``k`` other vectors found nearest to each, nearest first (Euclidean).
+    """``vec_id, neighbours, distances, lists_read, compared``: the ``k`` other vectors found nearest to each, nearest first (Euclidean).
 
-    Every vector is a query.
+    Every vector is a query; ``lists_read`` and ``compared`` say how many lists it searched and how many posted vectors it met there.
 
     * null ``vec_id`` or embedding, a null, NaN or infinite component, or another than the most frequent number of
       components (of equally frequent ones the smallest): neither query nor neighbour, so no row.
@@ -268,90 +387,61 @@ def nearest_neighbours(vectors: DataFrame, k: int = K_NEAREST) -> DataFrame:
     base = usable(vectors)
     total = base.count()
     if not total:
-        return spark.createDataFrame([], "vec_id long, neighbours array<long>, distances array<double>")
-    dim = len(base.select("embedding").first()["embedding"])
-    count = max(1, min(total, math.ceil(4 * math.sqrt(total)), CENTROID_BYTES // (4 * dim + 4 * (2 * DEGREE + 8))))
-    points = centroids(base, count)
+        return spark.createDataFrame([], RESULT)
+    dim = base.select(F.size("embedding")).first()[0]
+    points = centroids(base, cell_count(total), dim)
     shared = spark.sparkContext.broadcast(Graph(points))
-    enough = max(1, math.ceil(4 * (k + 1) * count / total))  # lists that hold a few times k vectors
-    group = groups_of(points)
-    beam = searched(count)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = shared.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 2048):
-                batch = whole.slice(a, 2048)
+            for a in range(0, whole.num_rows, 4096):
+                batch = whole.slice(a, 4096)
                 x = matrix(batch.column(1))
-                ids, d = graph.search(x, beam)
-                post = (d <= BOUNDARY**2 * d[:, :1])[:, :REPLICAS]
-                ask = (d <= SEARCH_RATIO**2 * d[:, :1]) | (np.arange(ids.shape[1]) < enough)
-                for query, chosen in ((False, post), (True, ask)):
-                    row, where, lists = _shipments(x, ids[:, : chosen.shape[1]], chosen, group)
-                    yield pa.record_batch(
-                        [pa.array(where), pa.array(np.full(len(row), query)), batch.column(0).take(pa.array(row)), pa.array(lists, pa.binary()), pa.array([v.tobytes() for v in x[row]], pa.binary())],
-                        names=["part", "query", "vec_id", "lists", "v"],
-                    )
-
-    schema = "part long, query boolean, vec_id long, lists binary, v binary"
-    routed = base.mapInArrow(route, schema).repartition("part").sortWithinPartitions("part", "query", "vec_id")
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, lists, values = None, [], [], []
-        ready: tuple | None = None
-        for batch in batches:
-            part, query, vec = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            edges = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (query[1:] != query[:-1])])) if len(part) else []
-            for a, z in zip(edges, np.append(edges[1:], len(part)) if len(part) else []):
-                if part[a] != current:
-                    current, ids, lists, values, ready = part[a], [], [], [], None
-                blobs = batch.column(3).slice(a, z - a).to_pylist()
-                x = np.frombuffer(b"".join(batch.column(4).slice(a, z - a).to_pylist()), np.float32).reshape(z - a, dim)
-                if not query[a]:
-                    ids.append(vec[a:z]), values.append(x), lists.extend(blobs)
-                    continue
-                if ready is None:
-                    ready = (np.concatenate(ids), np.concatenate(values), lists) if ids else (np.zeros(0, np.int64), np.zeros((0, dim), np.float32), [])
-                row, found, d = _answer_group(*ready, vec[a:z], x, blobs, k)
-                new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-                ends = np.append(new[1:], len(row))
+                row, cell, _ = shared.value.within(x, CELL_RATIO)
+                copy = np.concatenate([[False], row[1:] == row[:-1]]) if len(row) else np.zeros(0, bool)  # the nearest cell comes first
                 yield pa.record_batch(
-                    [pa.array(vec[a:z][row[new]]), pa.array([found[p:q].tobytes() for p, q in zip(new, ends)], pa.binary()), pa.array([d[p:q].tobytes() for p, q in zip(new, ends)], pa.binary())],
-                    names=["vec_id", "ids", "d"],
+                    [pa.array(cell.astype(np.int32)), pa.array(copy), batch.column(0).take(pa.array(row)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]))]).cast(pa.binary())],
+                    names=["cell", "copy", "vec_id", "v"],
                 )
 
-    partial = routed.mapInArrow(answer, "vec_id long, ids binary, d binary").repartition("vec_id").sortWithinPartitions("vec_id")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, d = None, [], []
-
-        def best() -> tuple[int, list[int], list[float]]:
-            i, e = np.concatenate(ids), np.concatenate(d)
-            order = np.lexsort((i, e))
-            order = order[np.isfinite(e[order])]
-            _, first = np.unique(i[order], return_index=True)
-            order = order[np.sort(first)][:k]
-            return current, i[order].tolist(), np.sqrt(e[order]).tolist()
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a task come sorted by cell, those at home first."""
+        portion = max(1, PORTION_BYTES // (4 * dim))
+        current, at_home, cell, held = None, True, None, []
+
+        def offer() -> None:
+            if held:
+                cell.offer(*(np.concatenate([h[k] for h in held]) for k in range(2)))
+                held.clear()
+
+        def settle_home() -> Cell:
+            own = tuple(np.concatenate([h[k] for h in held]) for k in range(2)) if held else (np.zeros(0, np.int64), np.zeros((0, dim), np.float32))
+            held.clear()
+            made = Cell(*own, k)
+            for a in range(0, len(own[0]), portion):
+                made.offer(own[0][a : a + portion], own[1][a : a + portion])
+            return made
 
-        out = []
         for batch in batches:
-            for v, i, e in zip(*(c.to_pylist() for c in batch.columns)):
-                if v != current:
+            where, copy, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            edges = _runs(2 * where.astype(np.int64) + copy)
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if where[a] != current:
                     if current is not None:
-                        out.append(best())
-                    current, ids, d = v, [], []
-                ids.append(np.frombuffer(i, np.int64)), d.append(np.frombuffer(e))
-            if len(out) > 5000:
-                yield _rows(out)
-                out = []
+                        cell = settle_home() if cell is None else cell
+                        offer()
+                        yield from cell.answers()
+                    current, cell = where[a], None
+                if copy[a] and cell is None:
+                    cell = settle_home()
+                x = np.frombuffer(b"".join(batch.column(3).slice(a, z - a).to_pylist()), np.float32).reshape(z - a, dim)
+                held.append((ids[a:z], x))
+                if cell is not None and sum(len(h[0]) for h in held) >= portion:
+                    offer()
         if current is not None:
-            out.append(best())
-        if out:
-            yield _rows(out)
-
-    return partial.mapInArrow(merge, "vec_id long, neighbours array<long>, distances array<double>")
-
+            cell = settle_home() if cell is None else cell
+            offer()
+            yield from cell.answers()
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    a, b, c = zip(*out)
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.float64()))], names=["vec_id", "neighbours", "distances"])
+    routed = base.mapInArrow(route, "cell int, copy boolean, vec_id long, v binary").repartitionById(len(points), F.col("cell")).sortWithinPartitions("cell", "copy")
+    return routed.mapInArrow(answer, RESULT)
