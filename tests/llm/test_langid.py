@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewheel.llm import langid as G
 
@@ -39,10 +40,35 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     profiles = G.prototypes(docs.where("doc_id % 2 = 0"))
     rest = docs.where("doc_id % 2 = 1 AND n_chars > 100")
-    got = rest.select("lang", G.identify(profiles).alias("f")).select("lang", "f.lang").toPandas()
+    got = rest.select(F.col("lang").alias("told"), G.identify(profiles).alias("f")).select("told", "f.lang").toPandas()
     assert (got.iloc[:, 0] == got.iloc[:, 1]).mean() > 0.97
 
 
+def test_decisions_by_hand(make_docs):
+    """Language, cosine and decision of every text, from whole hypervectors added up without the text itself."""
+    rows = [(1, "the dog and the cat saw the house", "en"), (2, "a house and a dog", "en"), (3, "le chat et le chien voient la maison", "fr"), (4, "la maison et le chien", "fr")]
+    rows += [(5, "the", "en"), (6, "zzkq wvxj", "en"), (7, "hund", "de"), (8, "the house and le chien", None), (9, "42 !", "en"), (10, "aaaa aaaa aaaa " * 50, "fr")]
+    got = {r.doc_id: r for r in G.identify_language(make_docs(rows)).collect()}
+    vectors = {d: by_hand(t) if any(c.isalpha() for c in t) else np.zeros(G.DIM) for d, t, _ in rows}
+    counts = {d: len(G.trigrams([t])[0]) for d, t, _ in rows}
+    for d, t, lang in rows:
+        v = vectors[d]
+        if not v.any():
+            assert got[d].detected is None and got[d].cosine is None and not got[d].accepted
+            continue
+        scores = {}
+        for name in ("de", "en", "fr"):
+            others = [vectors[e] for e, _, other in rows if other == name and (e != d or name == "de")]
+            p = sum(others)
+            scores[name] = v @ p / np.linalg.norm(v) / np.linalg.norm(p)
+        best = max(scores, key=lambda k: (scores[k], k))
+        assert got[d].detected == best and abs(got[d].cosine - scores[best]) < 2e-6
+        whole = sum(vectors[e] for e, _, other in rows if other == best)
+        n = sum(counts[e] for e, _, other in rows if other == best)
+        usual = min(1, np.sqrt(counts[d] ** 2 / (v @ v / G.DIM) * (whole @ whole) / G.DIM / n**2))
+        assert got[d].accepted == (scores[best] >= G.MIN_SHARE * usual - G.NOISE / np.sqrt(G.DIM))
+
+
 def test_clean_documents_stay(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
