@@ -108,6 +108,50 @@ def test_near_copies_of_one_text(make_docs):
     same(make_docs, rows)
 
 
+@pytest.mark.parametrize("most", [1, 4])
+def test_boilerplate_is_sorted_in_parts(make_docs, monkeypatch, most):
+    """The same result where minimisers have more runs than are sorted at once."""
+    monkeypatch.setattr(S, "RUNS_AT_ONCE", most)
+    random.seed(12)
+    core = [f"b{random.randrange(90)}" for _ in range(140)]
+    rows = []
+    for k in range(25):
+        w = list(core)
+        if k % 3 == 0:
+            w[random.randrange(140)] = f"e{k}"
+        rows.append((k, " ".join([f"x{k}{j}" for j in range(k % 4)] + w + [f"y{k % 5}"])))
+    same(make_docs, [*rows, (90, rows[1][1]), (None, rows[2][1])])
+
+
+def test_equal_runs_are_found():
+    rng = np.random.default_rng(2)
+    n, off = rng.integers(1, 4, 60), rng.integers(0, 3, 60)
+    runs = [rng.integers(0, 2, m - 1 + L).astype(np.uint32) // 2 + (rng.random(m - 1 + L) < 0.002) for m in n]
+    base = np.cumsum([0, *map(len, runs)])[:-1]
+    words = np.concatenate(runs).astype(np.uint32)
+    gram = np.array([hash(tuple(r[o : o + S.GRAM].tolist())) for r, o in zip(runs, off)])
+    first = S.same_runs(words, base, n, off, gram)
+    key = [(int(g), int(o), r.tolist()) for g, o, r in zip(gram, off, runs)]
+    for a in range(60):
+        for b in range(60):
+            assert (first[a] == first[b]) == (key[a] == key[b])
+
+
+CLASHES = ("__id", "__rank", "__node", "__doc", "__th", "__ranges", "__new", "row", "left", "ranges", "doc", "th", "node", "id", "first", "place", "a.b")
+
+
+def test_values_of_clashing_columns_stay(make_docs):
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"q{k}" for k in range(60))
+    docs = make_docs([(1, f"Start {words} end"), (2, f"Another one {words} and on"), (3, None), (4, "plain text")])
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce("doc_id", F.lit(0))).alias(c) for c in CLASHES))
+    out = S.drop_repeats(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) == 4 and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in CLASHES)
+
+
 def test_odd_rows(odd_docs, no_docs, make_docs):
     same(make_docs, [(r.doc_id, r.text) for r in odd_docs.collect()])
     assert S.repeated_passages(no_docs).count() == 0 and S.drop_repeats(no_docs).count() == 0
@@ -124,7 +168,7 @@ def test_equal_windows_have_equal_minimisers():
     core = [f"c{k}" for k in range(L)]
     texts = [" ".join([f"x{random.randrange(99)}" for _ in range(random.randrange(80))] + core + [f"y{random.randrange(99)}" for _ in range(random.randrange(80))]) for _ in range(20)]
     words = K.tokenize(pa.array(texts))
-    doc, s, n, off, gram, _ = S.runs_of_windows(words)
+    doc, s, n, off, gram = S.runs_of_windows(words)
     seen = set()
     for k, t in enumerate(texts):
         at = t.split().index("c0")

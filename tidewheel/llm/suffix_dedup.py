@@ -4,14 +4,13 @@ A passage is a window of ``LENGTH`` words.  Every window has a minimiser: the k-
 in it, a function of the window's words alone.  So equal windows have equal minimisers, and runs of windows with
 one minimiser (about twenty) travel as one record.  All windows of all documents take part.
 
-1. One pass emits a record (minimiser, hash of the run's words, document, place) per run; one shuffle by minimiser.
-   Minimisers of one document only are gone after that.  Where a minimiser has one kind of run, all its windows
-   are equal, however often it occurs, and nothing has to be compared.
-2. Minimisers with several kinds of runs (text that differs nearby) need the words: one representative of each
-   kind is fetched.  Inside a partition the suffixes that start at the minimisers are sorted deep-shallow:
-   multikey quicksort, all groups at once, down to ``SHALLOW`` words, then a blind trie for each group that still has
+1. One pass counts the documents of every minimiser, with partial sums before the shuffle.  Those of one document only are gone after that.
+2. The runs of shared minimisers are joined to them, all others never leave their task, and fetch their words.  All suffixes that
+   start at a shared minimiser are sorted deep-shallow: multikey quicksort, all groups at once, down to ``SHALLOW`` words, then a blind trie for each group that still has
    a longer common prefix.  For a window with l words before its minimiser, the suffixes whose common prefix
    reaches LENGTH - l words are a stretch of the array; equal windows are those of a stretch whose l words before agree.
+   A minimiser with more than ``RUNS_AT_ONCE`` runs (boilerplate) is sorted in parts by document first; of runs that are
+   equal as a whole one of each part goes on, so no task has to hold them all.
 3. A window is repeated where it occurs in two documents; its owner is the smallest document.  Repeated windows join into passages.
 
 Rows that share a ``doc_id`` are one document; rows without an id are together one document, the last.
@@ -23,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +33,7 @@ LENGTH = 50
 GRAM = 12
 SPREAD = LENGTH - GRAM + 1  # k-grams of a window
 SHALLOW = 20
+RUNS_AT_ONCE = 100_000
 NO_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -46,28 +47,27 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of_windows(words: K.Words) -> tuple[np.ndarray, ...]:
-    """(document, first window, number of windows, place of the minimiser, minimiser, hash of the run's words)."""
+    """(document, first window, number of windows, place of the minimiser, minimiser)."""
     wh = words.hashes
     if len(wh) < LENGTH:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     grams = K.rolling(wh, GRAM)
     best = _sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), SPREAD)
     doc = words.doc_of_word()[: len(best)]
     whole = np.arange(len(best)) + LENGTH <= words.offsets[doc + 1]
     s = np.flatnonzero(whole)
     if not len(s):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     at = (best[s] & _PLACE).astype(np.int64)
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(s)))
     s, at = s[first], at[first]
-    kind = K.mix(K.range_hashes(wh, s, s + count - 1 + LENGTH) + (at - s).astype(np.uint64))
-    return doc[s], s - words.offsets[doc[s]], count, at - s, grams[at], kind
+    return doc[s], s - words.offsets[doc[s]], count, at - s, grams[at]
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return K.lean(docs).select(
+    return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text")
     ).where("text IS NOT NULL")
 
@@ -77,11 +77,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, ths = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
         column = batch.column(2)
         for a, z in K.chunks(column):
-            doc, s, n, off, gram, kind = runs_of_windows(K.tokenize(column.slice(a, z - a)))
+            doc, s, n, off, gram = runs_of_windows(K.tokenize(column.slice(a, z - a)))
             if len(doc):
                 yield pa.record_batch(
-                    [pa.array(x) for x in (gram.view(np.int64), kind.view(np.int64), docs[a:z][doc], ths[a:z][doc], s.astype(np.int32), n.astype(np.int8), off.astype(np.int8))],
-                    names=["gram", "kind", "doc", "th", "s", "n", "off"],
+                    [pa.array(x) for x in (gram.view(np.int64), docs[a:z][doc], ths[a:z][doc], s.astype(np.int32), n.astype(np.int8), off.astype(np.int8))],
+                    names=["gram", "doc", "th", "s", "n", "off"],
                 )
 
 
@@ -230,85 +230,133 @@ def equal_windows(
     return row[by], t[by], owner[by]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole groups of one minimiser at a time, of bounded number of records unless one group is larger."""
-
-    def portion(rows: pa.Table) -> pa.RecordBatch | None:
-        gram, kind, low, high, n, off = (rows.column(c).to_numpy().astype(np.int64) for c in ("gram", "kind", "low", "high", "n", "off"))
-        blobs = rows.column("words").to_pylist()
-        words = np.frombuffer(b"".join(blobs), np.uint32)
-        base = np.cumsum([0, *(len(b) // 4 for b in blobs)])[:-1]
-        row, t, owner = equal_windows(words, base, n, off, gram, low, high)
-        if not len(row):
-            return None
-        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (t[1:] != t[:-1] + 1) | (owner[1:] != owner[:-1])]))
-        size = np.diff(np.append(new, len(row)))
-        columns = gram[row[new]], kind[row[new]], t[new].astype(np.int32), size.astype(np.int32), owner[new]
-        return pa.record_batch([pa.array(c) for c in columns], names=["gram", "kind", "t", "m", "owner"])
-
+def _portions(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Whole groups of the keys, by which rows are sorted, in portions of bounded size unless one group is larger."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-        if sum(b.num_rows for b in held) >= 100_000:
+        if sum(b.num_rows for b in held) >= RUNS_AT_ONCE:
             table = pa.Table.from_batches(held)
-            gram = table.column("gram").to_numpy()
-            cut_at = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
-            if cut_at:
-                found = portion(table.slice(0, cut_at))
-                if found is not None:
-                    yield found
+            other = np.zeros(table.num_rows, dtype=bool)
+            for key in keys:
+                column = table.column(key).to_numpy()
+                other |= column != column[-1]
+            if other.any():
+                cut_at = int(np.flatnonzero(other)[-1]) + 1
+                yield table.slice(0, cut_at)
                 held = table.slice(cut_at).combine_chunks().to_batches()
     if held:
-        found = portion(pa.Table.from_batches(held))
-        if found is not None:
-            yield found
+        yield pa.Table.from_batches(held)
+
+
+def _runs(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(words end to end, where each run's words begin, number of windows, place of the minimiser, minimiser)."""
+    column = table.column("words").combine_chunks()
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    words = np.frombuffer(column.buffers()[2], np.uint32, count=int(offsets[-1]) // 4)
+    return words, offsets[:-1] // 4, *(table.column(c).to_numpy().astype(np.int64) for c in ("n", "off", "gram"))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, th, s, m, owner) of the repeated windows, runs of windows with one owner being one row."""
+    for table in _portions(batches, "gram"):
+        words, base, n, off, gram = _runs(table)
+        low, high, doc, th, s = (table.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "doc", "th", "s"))
+        row, t, owner = equal_windows(words, base, n, off, gram, low, high)
+        if len(row):
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (t[1:] != t[:-1] + 1) | (owner[1:] != owner[:-1])]))
+            size, first = np.diff(np.append(new, len(row))), row[new]
+            columns = gram[first], doc[first], th[first], s[first].astype(np.int32), t[new].astype(np.int32), size.astype(np.int32), owner[new]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["gram", "doc", "th", "s", "t", "m", "owner"])
+
+
+def same_runs(words: np.ndarray, base: np.ndarray, n: np.ndarray, off: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Of each run the first one in suffix order that is equal to it as a whole."""
+    start, length = base + off, n - 1 + LENGTH - off
+    order, lcp = sort_suffixes(words, start, length, gram, GRAM)
+    same = np.concatenate([[False], (lcp[1:] == length[order][1:]) & (length[order][1:] == length[order][:-1])])
+    stretch = np.cumsum(~same)
+    left = np.zeros(len(base), dtype=np.uint64)
+    for before in range(int(off.max(initial=0))):
+        more = off > before
+        left[more] = K.mix(left[more] * np.uint64(0x2545F4914F6CDD1D) + words[start[more] - before - 1].astype(np.uint64) + np.uint64(1))
+    by = np.lexsort((left[order], off[order], stretch))
+    rows, part = order[by], stretch[by]
+    new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (off[rows][1:] != off[rows][:-1]) | (left[rows][1:] != left[rows][:-1])])) if len(rows) else np.zeros(0, np.int64)
+    out = np.empty(len(base), dtype=np.int64)
+    out[rows] = np.repeat(rows[new], np.diff(np.append(new, len(rows))))
+    return out
+
+
+def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every run with the one (d0, t0, s0) that stands for it; that one keeps its words, and the range of documents it stands for."""
+    for table in _portions(batches, "gram", "part"):
+        words, base, n, off, gram = _runs(table)
+        first = same_runs(words, base, n, off, gram)
+        doc, th, s = (table.column(c).to_numpy().astype(np.int64) for c in ("doc", "th", "s"))
+        low, high = np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), np.iinfo(np.int64).min)
+        np.minimum.at(low, first, doc)
+        np.maximum.at(high, first, doc)
+        stands = first == np.arange(len(first))
+        blobs = pc.if_else(pa.array(stands), table.column("words").combine_chunks(), pa.scalar(None, pa.binary()))
+        columns = [gram, doc, th, s.astype(np.int32), doc[first], th[first], s[first].astype(np.int32), n.astype(np.int8), off.astype(np.int8), low, high]
+        yield pa.record_batch([*(pa.array(c) for c in columns), blobs], names=["gram", "doc", "th", "s", "d0", "t0", "s0", "n", "off", "low", "high", "words"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc, th, s, m, owner): m windows from word s on of the text with hash th of ``doc`` that other documents have too."""
     texts = _identified(docs)
-    by_gram = Window.partitionBy("gram")
-    shared = cut(
-        texts.mapInArrow(_records, "gram long, kind long, doc long, th long, s int, n byte, off byte")
-        .select(
-            "*", F.min("doc").over(by_gram).alias("low"), F.max("doc").over(by_gram).alias("high"),
-            (F.min("kind").over(by_gram) == F.max("kind").over(by_gram)).alias("one_kind"),
-        )
-        .where("low < high")
+    records = texts.mapInArrow(_records, "gram long, doc long, th long, s int, n byte, off byte")
+    shared = (
+        records.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("runs"))
+        .where("low < high").select("gram", F.ceil(F.col("runs") / RUNS_AT_ONCE).cast("int").alias("parts"))
     )
-    plain = shared.where("one_kind").select("doc", "th", "s", F.col("n").cast("int").alias("m"), F.col("low").alias("owner"))
-    mixed = shared.where("NOT one_kind")
-    kinds = mixed.groupBy("gram", "kind").agg(F.min(F.struct("doc", "th", "s", "n", "off")).alias("r"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    wanted = kinds.groupBy(F.col("r.doc").alias("doc"), F.col("r.th").alias("th")).agg(
-        F.collect_list(F.struct("gram", "kind", F.col("r.s").alias("s"), F.col("r.n").alias("n"), F.col("r.off").alias("off"), "low", "high")).alias("k")
-    )
+    runs = records.join(shared.hint("shuffle_hash"), "gram")
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    wanted = runs.groupBy("doc", "th").agg(F.collect_list(F.struct("gram", "s", "n", "off", "parts", part.alias("part"))).alias("k"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0)
+            column = batch.column(2)
             for a, z in K.chunks(column):
                 words = K.tokenize(column.slice(a, z - a))
                 short = (words.hashes >> np.uint64(32)).astype(np.uint32)
-                lists = batch.column(1).slice(a, z - a)
+                lists = batch.column(3).slice(a, z - a)
                 flat = lists.flatten()
-                fields = {name: flat.field(i) for i, name in enumerate(("gram", "kind", "s", "n", "off", "low", "high"))}
-                owner = np.repeat(np.arange(z - a), np.array([len(x) for x in lists]))
+                fields = {name: flat.field(i) for i, name in enumerate(("gram", "s", "n", "off", "parts", "part"))}
+                owner = np.repeat(np.arange(z - a), pc.list_value_length(lists).to_numpy())
                 s = fields["s"].to_numpy() + words.offsets[owner]
-                e = s + fields["n"].to_numpy().astype(np.int64) - 1 + LENGTH
-                blobs = pa.array([short[p:q].tobytes() for p, q in zip(s.tolist(), e.tolist())], pa.binary())
-                yield pa.record_batch([fields[c] for c in ("gram", "kind", "low", "high", "n", "off")] + [blobs], names=["gram", "kind", "low", "high", "n", "off", "words"])
-
-    fetched = texts.join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("text", "k")
+                size = fields["n"].to_numpy().astype(np.int64) - 1 + LENGTH
+                ends = np.cumsum(size)
+                at = np.repeat(s - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+                blobs = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(short[at])])
+                doc, th = (batch.column(c).slice(a, z - a).take(pa.array(owner)) for c in range(2))
+                yield pa.record_batch([doc, th, *(fields[c] for c in fields), blobs], names=["doc", "th", *fields, "words"])
+
+    fetched = (
+        texts.join(wanted.hint("shuffle_hash"), ["doc", "th"]).select("doc", "th", "text", "k")
+        .mapInArrow(contexts, "doc long, th long, gram long, s int, n byte, off byte, parts int, part int, words binary")
+    )
+    found = "gram long, doc long, th long, s int, t int, m int, owner long"
+    at_once = (
+        fetched.where("parts = 1").select("gram", "doc", "th", "s", "n", "off", F.col("doc").alias("low"), F.col("doc").alias("high"), "words")
+        .repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, found)
+        .select("doc", "th", (F.col("s") + F.col("t")).alias("s"), "m", "owner")
+    )
+    if shared.where("parts > 1").isEmpty():
+        return at_once
+    collapsed = cut(
+        fetched.where("parts > 1").drop("parts").repartition("gram", "part").sortWithinPartitions("gram", "part")
+        .mapInArrow(_collapse, "gram long, doc long, th long, s int, d0 long, t0 long, s0 int, n byte, off byte, low long, high long, words binary")
+    )
     compared = (
-        fetched.mapInArrow(contexts, "gram long, kind long, low long, high long, n byte, off byte, words binary")
-        .repartition("gram")
-        .sortWithinPartitions("gram")
-        .mapInArrow(_compare, "gram long, kind long, t int, m int, owner long")
-        .distinct()
-    )
-    placed = mixed.join(compared, ["gram", "kind"]).select("doc", "th", (F.col("s") + F.col("t")).alias("s"), "m", "owner")
-    return plain.unionByName(placed)
+        collapsed.where("words IS NOT NULL").select("gram", "doc", "th", "s", "n", "off", "low", "high", "words")
+        .repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, found)
+        .select("gram", F.col("doc").alias("d0"), F.col("th").alias("t0"), F.col("s").alias("s0"), "t", "m", "owner")
+    )
+    placed = collapsed.select("gram", "doc", "th", "s", "d0", "t0", "s0").join(compared, ["gram", "d0", "t0", "s0"])
+    return at_once.unionByName(placed.select("doc", "th", (F.col("s") + F.col("t")).alias("s"), "m", "owner"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -368,14 +416,15 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     Where words go, ``text`` and ``n_chars`` (if there is one) change; a row that is left without a word goes.
     Every other row stays as it is, whatever it holds.  The cases are those of ``repeated_passages``.
     """
-    gone = (
-        repeated_windows(docs).where("owner < doc").groupBy("doc", "th").agg(F.collect_list(F.struct("s", "m")).alias("ranges"))
-        .select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("ranges").alias("__ranges"))
-    )
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.col("text").cast("string"))})
-    joined = keyed.join(gone.hint("shuffle_hash"), ["__doc", "__th"], "left")
-    changed = F.col("__ranges").isNotNull() & F.col("text").isNotNull()
-    new = joined.withColumn("__new", F.when(changed, _without(F.col("text"), F.col("__ranges"))).otherwise(F.col("text")))
-    kept = new.where(~changed | F.col("__new").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
-    fresh = {"text": F.col("__new"), "n_chars": F.when(changed, F.length("__new")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return kept.select(*(fresh[c].cast(docs.schema[c].dataType).alias(c) if fresh.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
+    gone = repeated_windows(docs).where("owner < doc").groupBy("doc", "th").agg(F.collect_list(F.struct("s", "m")).alias("ranges"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # further columns travel inside, so that no name can clash
+    keyed = docs.select(row.alias("row"), F.coalesce(row["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(row["text"].cast("string")).alias("th"))
+    joined = keyed.join(gone.hint("shuffle_hash"), ["doc", "th"], "left")
+    text = F.col("row")["text"].cast("string")
+    changed = F.col("ranges").isNotNull() & text.isNotNull()
+    new = joined.withColumn("left", F.when(changed, _without(text, F.col("ranges"))).otherwise(text))
+    kept = new.where(~changed | F.col("left").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
+    fresh = {"text": F.when(changed, F.col("left")).otherwise(text)}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(changed, F.length("left")).otherwise(F.col("row")["n_chars"])
+    return kept.select(*((fresh[c] if c in fresh else F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
