@@ -7,15 +7,16 @@ made per document or per word.  Hashes are 64 bits wide and depend on nothing bu
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CHUNK_BYTES = 1 << 18
 _PIECE = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -28,17 +29,18 @@ _WORD_BYTE[ord("A") : ord("Z") + 1] = True
 _WORD_BYTE[128:] = True
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """``df``, with settings that keep Python workers and the executors' off-heap buffers small beside long texts.
-
-    Arrow batches of 1,000 rows, unless the session has a size of its own, and allocators that give large arrays back at once.
-    """
-    spark = df.sparkSession
-    if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, "1000")
-    for name, value in (("MALLOC_MMAP_THRESHOLD_", "4194304"), ("MALLOC_TRIM_THRESHOLD_", "4194304"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
-        spark.sparkContext.environment.setdefault(name, value)
-    return df
+@cache
+def thrifty() -> None:
+    """In a worker process, once: allocators that give large arrays back at once, so that long texts leave little behind."""
+    if TaskContext.get() is None:
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # no GNU C library
+        return
+    for option, value in ((-3, 4 << 20), (-1, 4 << 20), (-8, 2)):  # thresholds of mapping and trimming, number of arenas
+        mallopt(option, value)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -155,6 +157,7 @@ def tokenize(texts: pa.Array) -> Words:
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of documents of about ``size`` bytes; a longer document is a run by itself."""
+    thrifty()
     offsets, _ = buffers(texts)
     n, at = len(offsets) - 1, 0
     while at < n:
