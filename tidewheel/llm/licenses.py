@@ -6,8 +6,10 @@ the same way, a gap without unique words by all its matches (longest increasing
 is the longest common subsequence).  Where a stretch holds more or other words than the template, piles that also keep the latest start
 give the longest common subsequence of any stretch.  Coverage is the share of the template's words in the best stretch of text.
 
-Before aligning, a text must hold enough of a template's words and all the words that tell it from others, and so must a
-stretch of it; that bound is exact and leaves few stretches.  Templates are constants of this module: nothing is joined or shuffled.
+Whole license texts (``license_texts.BODIES``) are aligned that way with nothing that must match; short notices, in which one
+word makes another license, name the words that tell them from others.
+
+Before aligning, a text must hold enough of a template's words, and so must a stretch of it; that bound is exact and leaves few stretches.  Templates are constants of this module: nothing is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import kernel as K
+from tidewheel.llm.license_texts import BODIES, IDENTIFIERS
 
 MIN_COVERAGE = 0.8
 STRETCH = 1.5
 _turn = count()  # tells equal matches of overlapping ranges apart
 
-#: (license, words that must match, notice)
-TEMPLATES: tuple[tuple[str, str, str], ...] = (
+#: (license, words that must match or None for a whole text, notice)
+TEMPLATES: tuple[tuple[str, str | None, str], ...] = (
     ("MIT", "mit", "released under the MIT License"),
     ("MIT", "mit", "licensed under the MIT License"),
     ("MIT", "deal sublicense", "to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
@@ -63,6 +66,8 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("Unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
     ("Proprietary", "rights reserved", "all rights reserved"),
     ("Proprietary", "rights reserved", "copyright all rights reserved"),
+    *IDENTIFIERS,
+    *((name, None, text) for name, text in BODIES),
 )
 
 
@@ -71,26 +76,27 @@ class Template:
     name: str
     words: np.ndarray  # hashes
     needs: np.ndarray
+    whole: bool = False
 
 
-def compiled(templates: tuple[tuple[str, str, str], ...] = TEMPLATES) -> list[Template]:
-    return [Template(name, K.tokenize(pa.array([text])).hashes, K.tokenize(pa.array([needs])).hashes) for name, needs, text in templates]
+def compiled(templates: tuple[tuple[str, str | None, str], ...] = TEMPLATES) -> list[Template]:
+    return [Template(name, K.tokenize(pa.array([text])).hashes, K.tokenize(pa.array([needs or ""])).hashes, needs is None) for name, needs, text in templates]
 
 
 def increasing(values: list[int]) -> list[int]:
-    """Places of a longest strictly increasing subsequence, by patience piles."""
-    tops, places, back = [], [], [-1] * len(values)
+    """Places of a longest strictly increasing subsequence, by patience piles; of several that which ends first, and so on backwards."""
+    tops: list[int] = []
+    piles: list[list[int]] = []
     for i, v in enumerate(values):
         k = bisect_left(tops, v)
-        back[i] = places[k - 1] if k else -1
         if k == len(tops):
-            tops.append(v), places.append(i)
+            tops.append(v), piles.append([i])
         else:
-            tops[k], places[k] = v, i
-    out, i = [], places[-1] if places else -1
-    while i >= 0:
-        out.append(i)
-        i = back[i]
+            tops[k] = v
+            piles[k].append(i)
+    out: list[int] = []
+    for pile in reversed(piles):  # values fall along a pile
+        out.append(next(i for i in pile if not out or i < out[-1] and values[i] < values[out[-1]]))
     return out[::-1]
 
 
@@ -153,12 +159,26 @@ def best_stretch(text: list[int], places: list[int], template: list[int], needs:
     return best
 
 
+def patience_stretch(text: list[int], places: list[int], template: list[int]) -> tuple[int, int, int]:
+    """(matched words, first, last) of the stretch of at most ``_width`` words that holds most of a patience alignment; the first of equal ones."""
+    at = [places[i] for i, _ in align(text, template)]
+    best, low = (0, 0, 0), 0
+    for high, place in enumerate(at):
+        while place - at[low] >= _width(len(template)):
+            low += 1
+        if high - low + 1 > best[0]:
+            best = high - low + 1, at[low], place
+    return best
+
+
 def scan(words: K.Words, templates: list[Template], min_coverage: float) -> Iterator[tuple[int, str, float, int, int]]:
     """(document, license, coverage, first word, number of words) of the best match of each license.
 
     Where stretches of two licenses overlap, the one with more matched words stands (LGPL words contain GPL words).
     """
-    vocabulary = np.unique(np.concatenate([t.words for t in templates] + [t.needs for t in templates]))
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t.words for t in templates), *(t.needs for t in templates)]))
+    if not len(vocabulary):
+        return
     at = np.searchsorted(vocabulary, words.hashes)
     at[at == len(vocabulary)] = 0
     hit = np.flatnonzero(vocabulary[at] == words.hashes)
@@ -178,7 +198,7 @@ def scan(words: K.Words, templates: list[Template], min_coverage: float) -> Iter
         for d in holds[enough]:
             low, high = np.searchsorted(doc, (d, d + 1))
             use = np.isin(code[low:high], kinds)
-            heaps.setdefault(int(d), []).extend(_matches(code[low:high][use], hit[low:high][use] - words.offsets[d], own, needs, min_coverage, t.name, k))
+            heaps.setdefault(int(d), []).extend(_matches(code[low:high][use], hit[low:high][use] - words.offsets[d], own, needs, min_coverage, t, k))
     for d, heap in sorted(heaps.items()):
         heapify(heap)
         taken: dict[int, tuple[int, int, str]] = {}  # by word
@@ -192,19 +212,20 @@ def scan(words: K.Words, templates: list[Template], min_coverage: float) -> Iter
                 best[name] = min(best.get(name, (0.0, 0, 0)), (coverage, first, last - first + 1))
             words_of, needs = (np.searchsorted(vocabulary, v) for v in (templates[k].words, templates[k].needs))
             for part in (place < cover[0], place > cover[1]):  # further stretches beside the one taken
-                for match in _matches(text[part], place[part], words_of, needs, min_coverage, name, k):
+                for match in _matches(text[part], place[part], words_of, needs, min_coverage, templates[k], k):
                     heappush(heap, match)
         for name, (coverage, first, n) in sorted(best.items()):
             yield d, name, -coverage, first, n
 
 
-def _matches(text: np.ndarray, places: np.ndarray, template: np.ndarray, needs: np.ndarray, min_coverage: float, name: str, k: int) -> Iterator[tuple]:
+def _matches(text: np.ndarray, places: np.ndarray, template: np.ndarray, needs: np.ndarray, min_coverage: float, known: Template, k: int) -> Iterator[tuple]:
     """The best match of each range of candidates, to be taken in order: most words first; at the end the range itself."""
     own, least = template.tolist(), min_coverage * len(template) - 1e-9
     for a, z in _candidates(text, places, template, needs, least):
-        n, first, last = best_stretch(text[a:z].tolist(), places[a:z].tolist(), own, set(needs.tolist()))
+        range_ = text[a:z].tolist(), places[a:z].tolist(), own
+        n, first, last = patience_stretch(*range_) if known.whole else best_stretch(*range_, set(needs.tolist()))
         if n and n >= least:
-            yield -n, -round(n / len(own), 6), first, last, name, k, int(places[a]), z - a, next(_turn), (text[a:z], places[a:z])
+            yield -n, -round(n / len(own), 6), first, last, known.name, k, int(places[a]), z - a, next(_turn), (text[a:z], places[a:z])
 
 
 def _width(words: int) -> int:
@@ -236,7 +257,7 @@ def _candidates(text: np.ndarray, places: np.ndarray, template: np.ndarray, need
         yield low, high
 
 
-def scan_licenses(docs: DataFrame, min_coverage: float = MIN_COVERAGE, templates: tuple[tuple[str, str, str], ...] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, min_coverage: float = MIN_COVERAGE, templates: tuple[tuple[str, str | None, str], ...] = TEMPLATES) -> DataFrame:
     """``doc_id, license, coverage, start_word, n_words``: the best match of each license that a text states.
 
     Words are numbered from 0; a license has several templates, of which the best counts.
@@ -244,7 +265,7 @@ def scan_licenses(docs: DataFrame, min_coverage: float = MIN_COVERAGE, templates
     * null, empty or wordless text: no row.  Very long texts are scanned whole.
     * null ``doc_id``: reported with a null.  Repeated rows: each is reported.
     * ties of coverage: in a run of overlapping stretches the one that ends first, then the shortest; of several runs the earliest.  Coverage equal to ``min_coverage`` matches.
-    * an empty table gives no rows; further columns, whatever their names, are ignored.
+    * no templates: no row.  An empty table gives no rows; further columns, whatever their names, are ignored.
     """
     known = compiled(templates)
 
