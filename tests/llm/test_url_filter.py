@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter, defaultdict
+
 import pytest
 
 from tidewheel.llm import url_filter as U
@@ -55,12 +59,104 @@ def test_odd_rows(spark):
     assert U.filter_urls(pages.where("false"), labels).count() == 0
 
 
-def tree_by_hand(rows):
-    return {r[0]: t for r, t in ((r, U.templates(rows)[r[0]]) for r in rows)}
+def brute(pages, marks, min_purity=0.5):
+    """Every page's template, purity and decision, by sets of pages: no tree, no counts carried along."""
+    shapes = [(re.compile(p), name) for p, name in U.SHAPES]
+
+    def shape(seg):
+        ext = re.search(r".(\.[a-z]{2,5})$", seg)
+        ext = ext[1] if ext else ""
+        stem = seg[: len(seg) - len(ext)]
+        return next((name + ext for p, name in shapes if p.search(stem)), seg)
+
+    label = {}
+    for page in {p for p, g in marks if g is not None}:
+        own = [g for p, g in marks if p == page and g is not None]
+        label[page] = int(sum(own) / len(own) >= 0.5)
+    path, out = {}, {}
+    for k, (page, url) in enumerate(pages):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)[^/?#]*([^?#]*)", url or "")
+        if m:
+            path[k] = (re.sub(r"^www\.", "", m[1].lower()), [shape(s) for s in m[2].lower().split("/") if s])
+    for level in range(max((len(p) for _, p in path.values()), default=0)):
+        heads = defaultdict(Counter)
+        for host, p in path.values():
+            if len(p) > level:
+                heads[host, tuple(p[:level])][p[level]] += 1
+        gone = {(key, seg) for key, kids in heads.items() for seg, n in kids.items() if len(kids) >= U.MANY and n < U.RARE * sum(kids.values())}
+        for host, p in path.values():
+            if len(p) > level and ((host, tuple(p[:level])), p[level]) in gone:
+                p[level] = "*"
+    good = lambda ks: (sum(pages[k][0] in label for k in ks), sum(label.get(pages[k][0], 0) for k in ks))
+    total = good(path)
+    prior = total[1] / total[0] if total[0] else None
+
+    def alike(a, b):
+        # a, b: page -> the rest of its path
+        ka, kb = ({p[0] for p in x.values() if p} for x in (a, b))
+        enda, endb = (any(not p for p in x.values()) for x in (a, b))
+        if enda != endb and not (ka and kb) or (ka or kb) and len(ka & kb) < U.LIKE * len(ka | kb):
+            return False
+        (la, ga), (lb, gb) = good(a), good(b)
+        p = (ga + gb + 1) / (la + lb + 2)
+        return abs((ga + 0.5) / (la + 1) - (gb + 0.5) / (lb + 1)) <= U.Z_LIMIT * (p * (1 - p) * (1 / (la + 1) + 1 / (lb + 1))) ** 0.5
+
+    def descend(rest, shown, host):
+        ends = [k for k, p in rest.items() if not p]
+        if ends:
+            n, g = good(ends)
+            purity = None if prior is None else round((g + U.WEIGHT * prior) / (n + U.WEIGHT), 6)
+            for k in ends:
+                out[k] = host, "/" + "/".join(shown), n, purity, purity is not None and purity < min_purity
+        kids = defaultdict(dict)
+        for k, p in rest.items():
+            if p:
+                kids[p[0]][k] = p[1:]
+        groups = []
+        for name in sorted(kids, key=lambda x: (-len(kids[x]), x)):
+            for names, pool in groups:
+                if alike(pool, kids[name]):
+                    names.append(name)
+                    pool.update(kids[name])
+                    break
+            else:
+                groups.append(([name], dict(kids[name])))
+        for names, pool in groups:
+            descend(pool, [*shown, names[0] if len(names) == 1 else "{" + "|".join(sorted(names)) + "}"], host)
+
+    for host in {h for h, _ in path.values()}:
+        descend({k: p for k, (h, p) in path.items() if h == host}, [], host)
+    return Counter((page, *out.get(k, (None, None, 0, None, False))) for k, (page, _) in enumerate(pages))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_against_brute_force(spark, seed):
+    """Sites with good and bad sections, of which whole templates are rejected."""
+    rng = random.Random(seed)
+    pages, marks = [], []
+    for k in range(700):
+        host = rng.choice(["h.com", "www.h.com", "blog.h.org"])
+        kind = rng.choice(["news", "casino", "shop", "user", "wiki", "spam"])
+        tail = {"user": f"/{rng.choice('abcdefgh')}{rng.choice('xyzw')}{rng.choice('klm')}/profile", "wiki": f"/{rng.choice(['Main', 'Help', f'T{k}'])}"}.get(kind, f"/{rng.choice(['en', 'fr', 'de'])}/{k}{rng.choice(['', '.html', '/'])}")
+        pages.append((rng.choice([k, k, k, None, k // 2]), rng.choice([None, "", "no url"]) if rng.random() < 0.03 else f"http://{host}/{kind}{tail}?q={k}"))
+        if rng.random() < 0.5:
+            marks.append((k, None if rng.random() < 0.1 else int(rng.random() < {"casino": 0.1, "spam": 0.05}.get(kind, 0.9))))
+    df = spark.createDataFrame([(p, u, "") for p, u in pages], PAGES)
+    got = Counter(map(tuple, U.filter_urls(df, spark.createDataFrame(marks, LABELS)).collect()))
+    want = brute(pages, marks)
+    assert got == want
+    rejected = sum(n for row, n in want.items() if row[-1])
+    assert 100 < rejected < 500
+
+
+def test_urls_of_thousands_of_segments(spark):
+    urls = [(1, "http://h.com/" + "a/" * 5000), (2, "http://h.com/" + "a/" * 5000 + "b"), (3, "http://h.com/x")] + [(10 + k, f"http://h.com/{k}/u") for k in range(25)]
+    rows = run(spark, urls, [(k, 1) for k in range(40)])
+    assert rows[1].template.count("/") == 5000 and rows[2].template.count("/") == 5001 and rows[10].template == "/<num>/u"
 
 
 def test_counts_add_up():
     rows = [(("a", "<num>"), 5, 4, 4), (("b", "<num>"), 6, 4, 4), (("c",), 2, 2, 0), ((), 1, 0, 0)]
-    got = tree_by_hand(rows)
+    got = U.templates(rows)
     assert got[("a", "<num>")] == got[("b", "<num>")] == ("/{a|b}/<num>", 11, 8, 8)
     assert got[("c",)] == ("/c", 2, 2, 0) and got[()][0] == "/"

@@ -58,10 +58,15 @@ def shaped_path(url: Column) -> Column:
 
 
 def _generalise(paths: DataFrame) -> DataFrame:
-    """Adds ``segs``: ``path`` with the rare ones among many values of a segment as ``*``."""
+    """Adds ``segs``: ``path`` with the rare ones among many values of a segment as ``*``.
+
+    A level can have many values only where a host has ``MANY`` paths that reach it, so a few very long URLs add no round.
+    """
     paths = cut(paths.withColumn("segs", F.col("path")))
-    deepest = paths.agg(F.max(F.size("segs"))).collect()[0][0] or 0
-    for level in range(deepest):
+    reach = paths.groupBy("host", F.size("path").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+    deeper = Window.partitionBy("host").orderBy(F.desc("depth"))
+    levels = reach.withColumn("reach", F.sum("n").over(deeper)).where(F.col("reach") >= MANY).agg(F.max("depth")).collect()[0][0] or 0
+    for level in range(levels):
         here = paths.where(F.size("segs") > level)
         key = [F.col("host"), F.slice("segs", 1, level).alias("head"), F.get("segs", F.lit(level)).alias("seg")]
         siblings = Window.partitionBy("host", "head")
@@ -79,61 +84,73 @@ def _generalise(paths: DataFrame) -> DataFrame:
 
 
 class _Node:
-    __slots__ = ("kids", "n", "labelled", "good")
+    """A branch: its children, the counts (pages, labelled, good) of paths that end here and of all below, and those paths."""
+
+    __slots__ = ("kids", "own", "total", "paths")
 
     def __init__(self) -> None:
         self.kids: dict[str, _Node] = {}
-        self.n = self.labelled = self.good = 0
+        self.own = self.total = (0, 0, 0)
+        self.paths: list[tuple[str, ...]] = []
 
-    def total(self) -> tuple[int, int, int]:
-        parts = [(self.n, self.labelled, self.good), *(k.total() for k in self.kids.values())]
-        return tuple(map(sum, zip(*parts)))
 
+def _plus(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(x + y for x, y in zip(a, b))
 
-def _alike(a: _Node, b: _Node, ta: tuple[int, int, int], tb: tuple[int, int, int]) -> bool:
+
+def _alike(a: _Node, b: _Node) -> bool:
     """Similar children (Jaccard of their segments) and no significant difference of label rates."""
     ka, kb = set(a.kids), set(b.kids)
-    if bool(a.n) != bool(b.n) and not (ka and kb):
+    if bool(a.own[0]) != bool(b.own[0]) and not (ka and kb):
         return False
     if (ka or kb) and len(ka & kb) < LIKE * len(ka | kb):
         return False
-    (_, la, ga), (_, lb, gb) = ta, tb
+    (_, la, ga), (_, lb, gb) = a.total, b.total
     pooled = (ga + gb + 1) / (la + lb + 2)
     error = math.sqrt(pooled * (1 - pooled) * (1 / (la + 1) + 1 / (lb + 1)))
     return abs((ga + 0.5) / (la + 1) - (gb + 0.5) / (lb + 1)) <= Z_LIMIT * error
 
 
 def _merge(into: _Node, other: _Node) -> None:
-    into.n, into.labelled, into.good = into.n + other.n, into.labelled + other.labelled, into.good + other.good
-    for name, kid in other.kids.items():
-        if name in into.kids:
-            _merge(into.kids[name], kid)
-        else:
-            into.kids[name] = kid
+    waiting = [(into, other)]
+    while waiting:
+        into, other = waiting.pop()
+        into.own, into.total = _plus(into.own, other.own), _plus(into.total, other.total)
+        into.paths += other.paths
+        for name, kid in other.kids.items():
+            if name in into.kids:
+                waiting.append((into.kids[name], kid))
+            else:
+                into.kids[name] = kid
 
 
 def templates(rows: list[tuple[tuple[str, ...], int, int, int]]) -> dict[tuple[str, ...], tuple[str, int, int, int]]:
-    """Segments -> (template, pages, labelled, good) for the paths of one host."""
+    """Segments -> (template, pages, labelled, good) for the paths of one host.  Nothing recurses, so a path may have any number of segments."""
     root = _Node()
-    for segs, n, labelled, good in rows:
+    for segs, *counts in rows:
         node = root
+        node.total = _plus(node.total, counts)
         for s in segs:
             node = node.kids.setdefault(s, _Node())
-        node.n, node.labelled, node.good = node.n + n, node.labelled + labelled, node.good + good
-    names: dict[tuple[str, ...], tuple[str, ...]] = {}
-    counts: dict[tuple[str, ...], tuple[int, int, int]] = {}
-
-    def descend(node: _Node, raw: set[tuple[str, ...]], shown: tuple[str, ...]) -> None:
-        if node.n:
-            counts[shown] = (node.n, node.labelled, node.good)
-            for path in raw:
-                names[path] = shown
-        totals = {k: v.total() for k, v in node.kids.items()}
+            node.total = _plus(node.total, counts)
+        node.own = _plus(node.own, counts)
+        node.paths.append(segs)
+    found: dict[tuple[str, ...], tuple[str, int, int, int]] = {}
+    waiting: list[tuple[_Node, tuple | None]] = [(root, None)]
+    while waiting:
+        node, shown = waiting.pop()  # names from here back to the root, linked
+        if node.paths:
+            names, link = [], shown
+            while link:
+                names.append(link[0])
+                link = link[1]
+            named = ("/" + "/".join(reversed(names)), *node.own)
+            found.update(dict.fromkeys(node.paths, named))
         groups: list[tuple[list[str], _Node]] = []
-        for name in sorted(node.kids, key=lambda k: (-totals[k][0], k)):
+        for name in sorted(node.kids, key=lambda k: (-node.kids[k].total[0], k)):
             kid = node.kids[name]
             for members, merged in groups:
-                if _alike(merged, kid, merged.total(), totals[name]):
+                if _alike(merged, kid):
                     members.append(name)
                     _merge(merged, kid)
                     break
@@ -141,10 +158,8 @@ def templates(rows: list[tuple[tuple[str, ...], int, int, int]]) -> dict[tuple[s
                 groups.append(([name], kid))
         for members, merged in groups:
             one = members[0] if len(members) == 1 else "{" + "|".join(sorted(members)) + "}"
-            descend(merged, {(*r, m) for r in raw for m in members}, (*shown, one))
-
-    descend(root, {()}, ())
-    return {segs: ("/" + "/".join(names[segs]), *counts[names[segs]]) for segs, *_ in rows}
+            waiting.append((merged, (one, shown)))
+    return found
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, min_purity: float = MIN_PURITY) -> DataFrame:
@@ -154,6 +169,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, min_purity: float = MIN_PUR
 
     * null or empty URL, or one without a host: null host, template and purity, 0 labelled, not rejected.
     * null ``page_id``: has no label, reported with a null.  Repeated rows: each counts, each is reported.
+    * very long URLs: every segment counts, however many there are.
     * several labels of one page: their mean, of at least a half is good.  No labels at all: purity is null and nothing is rejected.
     * ties: siblings are merged in the order of their pages, then of their names; purity equal to ``min_purity`` stays.
     * an empty table gives no rows; further columns, whatever their names, are ignored.
