@@ -1,13 +1,14 @@
 import os
 
+import numpy as np
 import pytest
 import regex
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewheel.llm import bpe as B
 
-tiktoken = pytest.importorskip("tiktoken")
 RANKS = B.read_vocabulary()
 CODEC = B.Codec(RANKS)
 REFERENCE = tiktoken.Encoding("own", pat_str=B.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -77,3 +78,26 @@ def test_bad_tokens(spark):
     rows = spark.createDataFrame([(1, [1, 10**6]), (2, [None]), (3, []), (4, None), (5, [-1])], "doc_id long, tokens array<int>")
     assert [r.text for r in B.decode(rows).collect()] == [None, None, "", None, None]
     assert os.path.exists(B.VOCABULARY)
+
+
+def test_equal_hashes_do_no_harm(spark, monkeypatch):
+    """Texts whose parts all have one hash come out right all the same."""
+    from tidewheel.llm import kernel as K
+
+    def everything(texts):
+        codec = B.Codec(RANKS)
+        monkeypatch.setattr(K, "hash_spans", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+        try:
+            return [codec.encode_one(t).tolist() for t in texts], codec.encode(texts)
+        finally:
+            monkeypatch.undo()
+
+    texts = ["some text", "", "another, text 42"]
+    one, (ids, size) = everything(texts)
+    assert one == [REFERENCE.encode_ordinary(t) for t in texts] and ids.tolist() != [x for o in one for x in o]
+
+
+def test_counts(make_docs):
+    rows = [(1, "a text of words"), (2, ""), (3, None), (None, "漢字 and so on 12.5")]
+    got = sorted(((r.doc_id, r.n_tokens) for r in B.count_tokens(make_docs(rows)).collect()), key=str)
+    assert got == sorted(((d, len(REFERENCE.encode_ordinary(t or ""))) for d, t in rows), key=str)

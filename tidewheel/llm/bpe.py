@@ -3,7 +3,7 @@
 A text is cut by the vocabulary's pattern; the bytes of each part are a doubly linked list of symbols, and a
 heap holds the merges of neighbours by (rank, place).  An entry whose symbols have changed since is stale
 and skipped when it comes up.  Parts recur: those of a batch of texts are found by numpy on code points, told apart by 64-bit
-hashes and merged once each; a worker keeps the tokens of the parts it has met, up to a fixed number.  No shuffle; the vocabulary file (under 1 MB) is read on the driver and broadcast.
+hashes and merged once each (a text that doesn't decode to itself is done again without hashes); a worker keeps the tokens of the parts it has met, up to a fixed number.  No shuffle; the vocabulary file (under 1 MB) is read on the driver and broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,16 +107,33 @@ class Codec(dict):
         hashes = K.hash_spans(points, starts, np.append(starts[1:], len(points)))
         return whole, starts, hashes, np.diff(np.searchsorted(starts, offsets))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and how many each text has."""
+    def _kinds(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(tokens of each kind of part, kind of each part, where each text's parts begin, with the end)."""
         whole, starts, hashes, per_text = self.split(texts)
         ends = np.append(starts[1:], len(whole))
-        _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
-        packed = [self[whole[a:z]] for a, z in zip(starts[first].tolist(), ends[first].tolist())]
+        same, kinds = pd.factorize(hashes)
+        first = np.empty(len(kinds), dtype=np.int64)
+        first[same[::-1]] = np.arange(len(same) - 1, -1, -1)
+        return [self[whole[a:z]] for a, z in zip(starts[first].tolist(), ends[first].tolist())], same, np.concatenate([[0], np.cumsum(per_text)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each text has."""
+        packed, same, bounds = self._kinds(texts)
         size = np.array([len(p) // 4 for p in packed], dtype=np.int64)
         ids = _gather(np.frombuffer(b"".join(packed), np.int32), size, same)
         total = np.concatenate([[0], np.cumsum(size[same])])
-        return ids, np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
+        return ids, np.diff(total[bounds])
+
+    def encode_one(self, text: str) -> np.ndarray:
+        """The ids of a text, part by part, without hashes."""
+        return np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(self[m.group()], np.int32) for m in self.compiled.finditer(text))])
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        """How many ids each text has."""
+        packed, same, bounds = self._kinds(texts)
+        size = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+        total = np.concatenate([[0], np.cumsum(size[same])])
+        return np.diff(total[bounds])
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids' vocabulary strings, end to end."""
@@ -218,7 +237,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
                     good = np.ones(z - a, dtype=bool)
                 else:
                     cuts, bounds = np.concatenate([[0], np.cumsum(size)]), K.buffers(part)[0]
-                    good = np.array([np.array_equal(codec.decode(ids[cuts[k] : cuts[k + 1]]), raw[bounds[k] : bounds[k + 1]]) for k in range(z - a)])
+                    own = [ids[cuts[k] : cuts[k + 1]] for k in range(z - a)]
+                    for k in range(z - a):
+                        if not np.array_equal(codec.decode(own[k]), raw[bounds[k] : bounds[k + 1]]):  # two kinds of parts with one hash
+                            own[k] = codec.encode_one(part[k].as_py() or "")
+                    ids, size = np.concatenate(own), np.array([len(x) for x in own])
+                    good = np.array([np.array_equal(codec.decode(x), raw[bounds[k] : bounds[k + 1]]) for k, x in enumerate(own)])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
                 tokens = pa.ListArray.from_arrays(offsets, pa.array(ids), mask=pa.array(missing))
                 yield pa.record_batch(
@@ -229,6 +253,23 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
     return narrow.mapInArrow(run, "doc_id long, n_tokens int, tokens array<int>, decoded boolean")
 
 
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """``doc_id, th, n_tokens`` of every row, as ``encode`` has them, and the hash of the text; a null text has none."""
+    shared = _shared(docs, vocabulary, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared)
+        for batch in batches:
+            keys, hashes, column = batch.columns
+            for a, z in K.chunks(column, PORTION):
+                size = codec.count(["" if t is None else t for t in column.slice(a, z - a).to_pylist()])
+                yield pa.record_batch([keys.slice(a, z - a), hashes.slice(a, z - a), pa.array(size.astype(np.int32))], names=["doc_id", "th", "n_tokens"])
+
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, th long, n_tokens int")
+
+
 def decode(rows: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, text`` of rows of token ids.
 
@@ -237,15 +278,22 @@ def decode(rows: DataFrame, tokens: str = "tokens", vocabulary: str = VOCABULARY
     """
     shared = _shared(rows, vocabulary, PATTERN)
 
-    def one(codec: Codec, ids: list[int] | None) -> str | None:
-        if ids is None or any(i is None or not 0 <= i < codec.size or not codec.known[i] for i in ids):
-            return None
-        return codec.decode(np.array(ids, dtype=np.int64)).tobytes().decode("utf-8", "replace")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([one(codec, t.as_py()) for t in batch.column(1)], pa.string())], names=["doc_id", "text"])
+            lists = batch.column(1)
+            flat = lists.flatten()
+            ids = flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            fits = (ids >= 0) & (ids < codec.size)
+            fits[fits] = codec.known[ids[fits]]
+            count = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(count)])
+            good = np.array(lists.is_valid()) & (np.concatenate([[0], np.cumsum(~fits)])[bounds[1:]] == np.concatenate([[0], np.cumsum(~fits)])[bounds[:-1]])
+            ids = np.where(fits, ids, 0)
+            raw = codec.decode(ids).tobytes() if len(ids) and codec.size else b""
+            at = np.concatenate([[0], np.cumsum(codec.pool_size[ids])])[bounds].tolist() if codec.size else [0] * len(bounds)
+            texts = [raw[p:q].decode("utf-8", "replace") if g else None for p, q, g in zip(at, at[1:], good)]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     narrow = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tokens).cast("array<int>").alias("tokens"))
     return narrow.mapInArrow(run, "doc_id long, text string")

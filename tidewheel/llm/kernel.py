@@ -53,6 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_POINT_VALUE = mix(np.arange(1, 0x3001, dtype=np.uint64))
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -129,7 +130,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         piece = data[low : ends[to - 1]]
         power, inverse = _power_tables(len(piece) + 1)
         total = np.zeros(len(piece) + 1, dtype=np.uint64)
-        value = _BYTE_VALUE[piece] if piece.dtype == np.uint8 else mix(piece.astype(np.uint64) + np.uint64(1))
+        if piece.dtype == np.uint8:
+            value = _BYTE_VALUE[piece]
+        else:
+            value = _POINT_VALUE[np.minimum(piece, len(_POINT_VALUE) - 1)]
+            high = np.flatnonzero(piece >= len(_POINT_VALUE))
+            value[high] = mix(piece[high].astype(np.uint64) + np.uint64(1))
         np.cumsum(value * power[: len(piece)], out=total[1:], dtype=np.uint64)
         s, e = starts[at:to] - low, ends[at:to] - low
         out[at:to] = (total[e] - total[s]) * inverse[s]
