@@ -1,13 +1,17 @@
 import numpy as np
 import pytest
+import tiktoken
 
+from tidewheel.llm import bpe as B
 from tidewheel.llm import packing as P
 
+ENCODER = tiktoken.Encoding("own", pat_str=B.PATTERN, mergeable_ranks=B.read_vocabulary(), special_tokens={})
+
 
 def unpacked(docs, window):
     out = []
     for doc_id, text in docs:
-        n = len((text or "").split())
+        n = len(ENCODER.encode_ordinary(text or ""))
         out += [(doc_id, s, min(window, n - s)) for s in range(0, n, window)]
     return sorted(out, key=str)
 
@@ -82,3 +86,31 @@ def test_many_slots(make_docs, monkeypatch):
     monkeypatch.setattr(P, "ROWS_PER_SLOT", 7)
     docs = [(k % 40, "w " * (1 + k % 5)) for k in range(200)]
     check(P.pack_documents(make_docs(docs), 128).collect(), docs, 128)
+
+
+def test_windows_hold_every_token_once(make_docs):
+    rng = np.random.default_rng(5)
+    words = ["tide", "wheel", "über", "漢字", "running", "42", "..."]
+    docs = [(k, " ".join(rng.choice(words, int(n)))) for k, n in enumerate(rng.integers(0, 500, 60))]
+    docs += [docs[3], (3, "another text under that id"), (None, "no id " * 90), (None, None), (70, ""), (71, docs[4][1])]
+    rows = P.pack_windows(make_docs(docs, clash=True), 256).collect()
+    assert sorted(r.pack_id for r in rows) == list(range(len(rows)))
+    got = []
+    for r in rows:
+        assert len(r.tokens) == sum(r.lengths) <= 256
+        at = 0
+        for d, s, n in zip(r.doc_ids, r.starts, r.lengths):
+            got.append((d, s, tuple(r.tokens[at : at + n])))
+            at += n
+    want = []
+    for d, t in docs:
+        ids = ENCODER.encode_ordinary(t or "")
+        want += [(d, s, tuple(ids[s : s + 256])) for s in range(0, len(ids), 256)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_as_few_windows_as_greedy_packing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = P.pack_documents(docs).collect()
+    lengths = [16 * -(-n // 16) for _, _, n in unpacked([(r.doc_id, r.text) for r in docs.collect()], 2048)]
+    assert len({r.pack_id for r in rows}) <= 1.03 * first_fit(lengths, 2048) + 2

@@ -19,13 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.llm import bpe
 from tidewheel.session import cut
 
 WINDOW = 2048
 BINS = 128
 DEPTH = 3
 ROWS_PER_SLOT = 50_000
-TOKEN = r"[^\s]+"
 
 
 def combinations(present: list[int], total: int = BINS, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -121,34 +121,51 @@ def plan_packs(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return plan
 
 
-def pieces(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, bin) of each piece of at most ``window`` tokens; bins are grains of length."""
+def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """(doc_id, th, start, length, bin) of each piece of at most ``window`` tokens; bins are grains of length, th is the text's hash."""
     grain = max(1, window // BINS)
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(F.col("text").cast("string"), F.lit(TOKEN)).alias("n"))
+    counted = bpe.count_tokens(docs, vocabulary)
     return (
-        counted.where("n > 0")
-        .select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / window).cast("int"))).alias("k"))
-        .select("doc_id", (F.col("k") * window).alias("start"), F.least(F.lit(window), F.col("n") - F.col("k") * window).alias("length"))
+        counted.where("n_tokens > 0")
+        .select("doc_id", "th", F.col("n_tokens").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / window).cast("int"))).alias("k"))
+        .select("doc_id", "th", (F.col("k") * window).alias("start"), F.least(F.lit(window), F.col("n") - F.col("k") * window).alias("length"))
         .withColumn("bin", F.ceil(F.col("length") / grain).cast("int"))
     )
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """``pack_id, slot, offset, doc_id, start, length``: where each piece of each document goes.
 
-    Tokens are runs of non-space characters.  ``start`` and ``length`` count tokens of the document, ``offset``
+    Tokens are those of ``bpe.encode``.  ``start`` and ``length`` count tokens of the document, ``offset``
     is the piece's place in the window; pieces of a pack never overlap and never pass its end.  ``window`` is a multiple of ``BINS``.
 
-    * null, empty or blank text: has no tokens, so no row.  A text longer than the window: several pieces.
+    * null or empty text: has no tokens, so no row.  A text longer than the window: several pieces, however many.
     * null ``doc_id``: packed like any other and reported with a null.  Repeated rows: each is packed.
-    * ties: pieces of one length are ranked by (hash slot, doc_id, start); rows that are equal in those are interchangeable.
+    * ties: pieces of one length are ranked by (hash slot, doc_id, start, hash of the text); rows that are equal in those are interchangeable.
     * an empty table gives no rows; further columns, whatever their names, are ignored.
     """
+    return _placed(docs, window, vocabulary).drop("th")
+
+
+def pack_windows(docs: DataFrame, window: int = WINDOW, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """``pack_id, tokens, doc_ids, starts, lengths``: the packed windows themselves, one row each.
+
+    ``tokens`` are the token ids of the pieces end to end; ``doc_ids``, ``starts`` and ``lengths`` name the pieces in that order.
+    The cases are those of ``pack_documents``.
+    """
+    keyed = docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text").where("text IS NOT NULL").dropDuplicates(["doc_id"])
+    tokens = bpe.encode(keyed, vocabulary).select(F.col("doc_id").alias("th"), "tokens")  # equal texts once
+    piece = F.struct("slot", "doc_id", "start", "length", F.slice("tokens", F.col("start") + 1, F.col("length")).alias("ids"))
+    packs = _placed(docs, window, vocabulary).join(tokens, "th").groupBy("pack_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    return packs.select("pack_id", F.flatten("p.ids").alias("tokens"), F.col("p.doc_id").alias("doc_ids"), F.col("p.start").alias("starts"), F.col("p.length").alias("lengths"))
+
+
+def _placed(docs: DataFrame, window: int, vocabulary: str) -> DataFrame:
     if window % BINS:
         raise ValueError(f"window must be a multiple of {BINS}")
     grain = window // BINS
     spark = docs.sparkSession
-    cuts = cut(pieces(docs, window))
+    cuts = cut(pieces(docs, window, vocabulary))
     histogram = np.zeros(BINS + 1, dtype=np.int64)
     for row in cuts.groupBy("bin").count().collect():  # BINS rows at most
         histogram[row["bin"]] = row["count"]
@@ -169,12 +186,12 @@ def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.coalesce(F.sum("n").over(Window.partitionBy("bin").orderBy("hash_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
     )
     ranked = slotted.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("bin", "hash_slot").orderBy("doc_id", "start")) - 1
+        "rank", F.row_number().over(Window.partitionBy("bin", "hash_slot").orderBy("doc_id", "start", "th")) - 1
     ).join(before, ["bin", "hash_slot"])
-    ranked = ranked.select("bin", (F.col("rank") + F.col("base")).alias("rank"), "doc_id", "start", "length")
+    ranked = ranked.select("bin", (F.col("rank") + F.col("base")).alias("rank"), "doc_id", "th", "start", "length")
     return ranked.join(
         F.broadcast(places),  # a few rows per length, whatever the corpus holds
         (ranked["bin"] == places["bin"]) & (ranked["rank"] >= places["low"]) & (ranked["rank"] < places["high"]),
     ).select(
-        (places["first"] + ranked["rank"] - places["low"]).alias("pack_id"), "slot", "offset", "doc_id", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length")
+        (places["first"] + ranked["rank"] - places["low"]).alias("pack_id"), "slot", "offset", "doc_id", "th", F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length")
     )
