@@ -308,7 +308,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc, th, s, m, owner): m windows from word s on of the text with hash th of ``doc`` that other documents have too."""
     texts = _identified(docs)
     records = texts.mapInArrow(_records, "gram long, doc long, th long, s int, n byte, off byte")
-    shared = (
+    shared = cut(
         records.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("runs"))
         .where("low < high").select("gram", F.ceil(F.col("runs") / RUNS_AT_ONCE).cast("int").alias("parts"))
     )
