@@ -39,8 +39,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is the quality label under its number."""
-    marks = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    """A page is good where the label under its number says quality and doesn't say toxic."""
+    good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
+    marks = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality").isNotNull(), good).alias("good"))
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), marks)
 
 
