@@ -138,6 +138,40 @@ def test_store(spark, tmp_path):
     assert s.delete("items", schema, spark.createDataFrame([("zz",)], "item_id string"), ["item_id"]) == 0
 
 
+def test_rewrite_and_cache(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromDDL("item_id string, v int, published_at string")
+    rows = spark.createDataFrame([("a", 1, "2026-07-01T00"), ("b", 2, "2026-07-02T00"), ("c", 3, "2026-07-02T00")], schema)
+    s = store.Store(spark, str(tmp_path))
+    s.append("items", rows, "published_at")
+    before = {p.name for p in (tmp_path / "items" / "dt=2026-07-01").glob("*.parquet")}
+    assert s.rewrite("items", schema, spark.createDataFrame([("b", 9), ("zz", 0)], "item_id string, v int"), ["item_id"], ["v"]) == 1
+    assert sorted((r.item_id, r.v, str(r.dt)) for r in s.read("items", schema).collect()) == [("a", 1, "2026-07-01"), ("b", 9, "2026-07-02"), ("c", 3, "2026-07-02")]
+    assert {p.name for p in (tmp_path / "items" / "dt=2026-07-01").glob("*.parquet")} == before
+    words = spark.createDataFrame([("a", "k", "llm"), ("c", "k", "llm")], "item_id string, keyword string, method string")
+    tables = {"items": rows, "item_keywords": words}
+    assert checks.rebuild_cache(tables, "t_") == {"items": 3, "item_keywords": 2} and checks.open_cache(spark, ["items"], "t_")["items"].count() == 3
+    for bad in ({"items": rows.unionAll(rows)}, {"item_keywords": words.unionAll(words)}, {"item_keywords": words.unionAll(spark.createDataFrame([("q", "k", "llm")], words.schema))}):
+        with pytest.raises(ValueError):
+            checks.rebuild_cache(tables | bad, "t_")
+    assert checks.open_cache(spark, ["items"], "t_")["items"].count() == 3
+
+
+def test_the_last_attempt_is_by_time(spark):
+    """A log that was appended out of order gives the same as an ordered one."""
+    log = spark.createDataFrame([("a", 1, "2026-01-02 00:00:00", "ok"), ("a", 2, "2026-01-01 00:00:00", "error"), ("a", 3, "2026-01-03 00:00:00", "skipped")], "source_id string, seq long, t string, status string")
+    log = log.selectExpr("source_id", "seq", "to_timestamp(t) AS started_at", "status", "0 AS items_new", "'HTTP 503' AS error", "'direct' AS rung", "cast(null AS string) AS resolved_url")
+    assert str(history.last_attempt(log).first().last_at) == "2026-01-02 00:00:00"
+    own = history.health(log).first()
+    assert own.last_status == "ok" and own.consecutive_failures == 0
+
+
+def test_pages_of_nothing(spark):
+    assert [tuple(r) for r in trends.page_index(spark.range(0)).collect()] == [(1, 1, 0, False, False)]
+    assert [r["items"] for r in trends.page_index(spark.range(45)).orderBy("page").collect()] == [20, 20, 5]
+
+
 def test_dml(spark):
     truth = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     change = spark.createDataFrame([("b", 9), ("c", 7)], "k string, v int")

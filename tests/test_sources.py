@@ -74,6 +74,28 @@ def test_data_source(spark, tmp_path):
         query.stop()
 
 
+def test_files_that_come_late(spark, tmp_path):
+    """A file is read whatever its name, once it is newer than what has been read."""
+    import os
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "m.xml").write_bytes(RSS)
+    os.utime(source / "m.xml", (1_000, 1_000))
+    reader = feeds.FeedStream({"path": str(source)})
+    rows, end = reader.read(reader.initialOffset())
+    assert len(list(rows)) == 2
+    (source / "a.xml").write_bytes(RSS)
+    rows, later = reader.read(end)
+    assert [r[0] for r in rows] == ["a.xml"] * 2 and [r[0] for r in reader.readBetweenOffsets(end, later)] == ["a.xml"] * 2
+    assert reader.read(later)[1] == later
+    for k in range(2):
+        query = feeds.feed_stream(spark, str(source)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 4 + 2 * k
+        (source / "b.xml").write_bytes(RSS)
+
+
 def test_records(spark, tmp_path):
     day = tmp_path / "log" / "2026" / "07"
     day.mkdir(parents=True)
@@ -153,5 +175,19 @@ def test_streak_state(spark, tmp_path):
 
 def test_daily_counts(spark, tmp_path):
     rows = spark.createDataFrame([("2026-03-08 07:30:00",), ("2026-03-09 05:30:00",), ("2026-03-09 06:30:00",)], "t string").selectExpr("to_timestamp(t) AS at")
-    got = {str(r.day): r.n for r in streams.daily_counts(rows).groupBy("day").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    got = {str(r.day): r.n for r in streams.daily_counts(rows).collect()}
     assert got == {"2026-03-08": 2, "2026-03-09": 1} and streams.trailing_counts(rows).count() >= 7
+
+
+def test_daily_counts_as_a_stream(spark, tmp_path):
+    """A day is one row, written when the watermark has passed its end; what comes later than that is dropped."""
+    source = tmp_path / "in"
+    source.mkdir()
+    out = []
+    for times in (["2026-03-08 07:30:00", "2026-03-08 20:00:00"], ["2026-03-09 05:30:00", "2026-03-12 12:00:00"], ["2026-03-08 08:00:00", "2026-03-13 12:00:00"]):
+        spark.createDataFrame([(t,) for t in times], "t string").selectExpr("to_timestamp(t) AS at").coalesce(1).write.mode("append").parquet(str(source))
+        stream = streams.daily_counts(spark.readStream.schema("at timestamp").parquet(str(source)), "1 day")
+        query = stream.writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    days = [str(d) for d, _ in out]
+    assert len(days) == len(set(days)) and dict((str(d), n) for d, n in out)["2026-03-08"] == 3

@@ -27,10 +27,6 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, r"<[^>]+>", " ")
-
-
 def valid_slug(c: Column) -> Column:
     return c.rlike("^([a-z0-9]+-)*[a-z0-9]+$")
 
@@ -61,10 +57,6 @@ def item_identity(kind: Column, url: Column, external_id: Column) -> Column:
     return F.sha2(F.concat(kind, F.char(F.lit(0)), F.coalesce(F.nullif(external_id, F.lit("")), url)), 256)
 
 
-def content_hash_sha(title: Column) -> Column:
-    return F.sha2(title, 256)
-
-
 def simhash_bigint(hex16: Column) -> Column:
     return F.conv(hex16, 16, -10).cast("long")
 

@@ -37,10 +37,6 @@ class Span:
         """Both bounds are literals, so they reach the scan and prune partitions."""
         return (at >= F.lit(self.start)) & (at < F.lit(self.end))
 
-    def dates(self, column: Column) -> Column:
-        """The same bounds on a UTC date partition column."""
-        return (column >= F.lit(self.start.date())) & (column <= F.lit(self.end.date()))
-
 
 def _midnight(day: date, zone: str) -> datetime:
     return datetime.combine(day, time(), ZoneInfo(zone)).astimezone(UTC)
@@ -110,10 +106,6 @@ def local_date_column(at: Column, zone: str = ZONE) -> Column:
     return F.to_date(F.from_utc_timestamp(at.cast("timestamp"), zone))
 
 
-def local_midnight(day_: Column, zone: str = ZONE) -> Column:
-    return F.to_utc_timestamp(day_.cast("timestamp"), zone)
-
-
 def iso_week_key(day_: Column) -> Column:
     return F.concat(F.extract(F.lit("yearofweek"), day_).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day_).cast("string"), 2, "0"))
 

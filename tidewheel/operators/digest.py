@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.text import chips_json, digest_id, is_rising
 from tidewheel.functions.timewin import Span
 from tidewheel.operators import trends
+from tidewheel.operators.extract import digest_reply
 from tidewheel.operators.rules import Rules
+from tidewheel.session import cut
 
 DAILY_TOP, WEEKLY_TOP = 12, 20
 
@@ -26,8 +31,7 @@ def inputs(
 def top_items(items: DataFrame, keywords: DataFrame, sources: DataFrame, groups: DataFrame, rules: Rules, now: Span, chosen: DataFrame, limit: int = 3) -> DataFrame:
     """The newest items of each chosen (category, keyword), all at once rather than a query a keyword."""
     star = trends.in_category(items, sources, groups)
-    ranked = trends.latest_by_kind(star, keywords, rules, now, limit, by=("category", "keyword"))
-    return ranked.join(chosen.select("category", "keyword"), ["category", "keyword"], "left_semi")
+    return trends.latest_by_kind(star, keywords, rules, now, limit, by=("category", "keyword"), only=chosen)
 
 
 def template(rows: DataFrame, counts: DataFrame, kind: str, key: str, min_items: int = 10) -> DataFrame:
@@ -51,6 +55,57 @@ def template(rows: DataFrame, counts: DataFrame, kind: str, key: str, min_items:
     )
 
 
+def payloads(rows: DataFrame, counts: DataFrame, examples: DataFrame, kind: str, start: str, end: str, cap: int = 300) -> DataFrame:
+    """(category, payload): the JSON that describes a category's period to a model.
+
+    ``examples`` (category, keyword, rn, title, summary) are the items shown with a keyword; their summaries are cut to ``cap``.
+    """
+    shown = F.struct("title", F.substring(F.coalesce("summary", F.lit("")), 1, cap).alias("summary"))
+    told = examples.groupBy("category", "keyword").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", shown.alias("x")))), lambda e: e["x"]).alias("examples"))
+    none = F.array().cast("array<struct<title: string, summary: string>>")
+    word = F.struct("keyword", F.col("cnt").alias("mentions"), "rising", F.coalesce("examples", none).alias("examples"))
+    words = rows.join(told, ["category", "keyword"], "left").groupBy("category").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", word.alias("w")))), lambda k: k["w"]).alias("keywords"))
+    whole = counts.join(words, "category")
+    fields = (F.col("category"), F.lit(kind).alias("cadence"), F.lit(start).alias("period_start"), F.lit(end).alias("period_end"), F.col("item_count"), F.col("keywords"))
+    return whole.select("category", F.to_json(F.struct(*fields)).alias("payload"))
+
+
+def generate(
+    rows: DataFrame, counts: DataFrame, asked: DataFrame, model: Callable[[str], str] | None, kind: str, key: str, min_items: int = 10, name: str = "model", version: str = "v1"
+) -> DataFrame:
+    """Digests of all categories with enough items: a model's where its reply is a valid digest, else the template's (``model`` is ``template`` then).
+
+    ``asked`` (category, payload) is what the model is shown.
+    """
+    plain = template(rows, counts, kind, key, min_items)
+    if model is None:
+        return plain.withColumns({"model": F.lit("template"), "prompt_version": F.lit("none")})
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for category, payload in zip(*(c.to_pylist() for c in frame.columns)):
+                try:
+                    title, bullets, body = digest_reply(model(payload))
+                except Exception:  # a model is foreign code, and a reply that is no digest counts as none
+                    continue
+                brief = "**TL;DR**\n\n" + "\n".join(f"- {b}" for b in bullets) + "\n\n" if bullets else ""
+                yield pa.record_batch([pa.array([category]), pa.array([title]), pa.array([brief + body])], names=["category", "m_title", "m_body"])
+
+    enough = asked.join(plain.select("category"), "category", "left_semi").select("category", "payload")
+    told = cut(enough.repartition("category").mapInArrow(run, "category string, m_title string, m_body string"))
+    by_model = F.col("m_title").isNotNull()
+    return plain.join(told, "category", "left").select(
+        "digest_id", "category", F.coalesce("m_title", "title").alias("title"), F.coalesce("m_body", "body_md").alias("body_md"), "top_keywords",
+        F.when(by_model, F.lit(name)).otherwise(F.lit("template")).alias("model"), F.when(by_model, F.lit(version)).otherwise(F.lit("none")).alias("prompt_version"),
+    )
+
+
+def newest_first(digests: DataFrame, limit: int | None = None) -> DataFrame:
+    """Digests by period, then by when they were made, the latest first; ``limit`` of them, or all."""
+    ordered = digests.orderBy(F.desc("period_start"), F.desc("created_at"), F.desc("digest_id"))
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def due(categories: DataFrame, periods: DataFrame, done: DataFrame, kind: str) -> DataFrame:
     """(category, key) pairs without a digest yet; one made from the template doesn't count as done."""
     pairs = categories.crossJoin(periods).withColumn("digest_id", digest_id(F.lit(kind), F.col("category"), F.col("key")))

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.functions.text import jaccard, strip_code_fence, usable_keyword
+from tidewheel.functions.udfs import excerpt_udf
+from tidewheel.operators.model import calls
+from tidewheel.session import cut
 
 BATCH = 25
 KEEP = 8
@@ -126,50 +129,54 @@ def fallback_keywords(column: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.string()))
 
 
-def ask(asked: DataFrame, model: Callable[[list[dict]], str]) -> DataFrame:
-    """(batch, reply) of a model for the batches of ``asked`` (batch, item_id, title, summary); errors give a null reply."""
+def valid_reply(text: str, rows: list[dict]) -> bool:
+    """What ``checked_replies`` accepts, for one reply: a JSON array that names each asked item once and nothing else, every keyword usable."""
+    bare = re.sub(r"^\s*```[A-Za-z]*\s*|\s*```\s*$", "", text)
+    try:
+        data = json.loads(bare)
+    except ValueError:
+        return False
+    if not isinstance(data, list) or not all(isinstance(x, dict) and isinstance(x.get("keywords"), list) for x in data):
+        return False
+    named = sorted(str(x.get("item_id")) for x in data)
+    return named == sorted(str(r["item_id"]) for r in rows) and all(isinstance(w, str) and sane(w) is not None for x in data for w in x["keywords"])
 
-    def run(frames):
-        for batch in frames:
-            groups: dict[int, list[dict]] = {}
-            for row in batch.to_pylist():
-                groups.setdefault(row.pop("batch"), []).append(row)
-            replies = []
-            for items in groups.values():
-                try:
-                    replies.append(model(items))
-                except Exception:  # a model is foreign code: whatever it raises is a failed batch, which the fallback takes over
-                    replies.append(None)
-            yield pa.record_batch([pa.array(list(groups), pa.int64()), pa.array(replies, pa.string())], names=["batch", "reply"])
 
-    one_per_task = asked.select(F.col("batch").cast("long").alias("batch"), "item_id", "title", "summary").repartition("batch").sortWithinPartitions("batch", "item_id")
-    whole = one_per_task.groupBy("batch").agg(F.collect_list(F.struct("item_id", "title", "summary")).alias("items"))
+def ask(asked: DataFrame, model: Callable[[list[dict]], object], budget: int | None = None, retries: int | None = None) -> DataFrame:
+    """The calls of a model for the batches of ``asked`` (batch, item_id, title, summary), as in ``model.calls``."""
+    return calls(asked, model, valid_reply, ("item_id", "title", "summary"), budget, retries)
 
-    def by_batch(frames):
-        for batch in frames:
-            flat = pa.RecordBatch.from_pylist([{"batch": r["batch"], **i} for r in batch.to_pylist() for i in r["items"]]) if batch.num_rows else None
-            if flat is not None:
-                yield from run([flat])
 
-    return whole.mapInArrow(by_batch, "batch long, reply string")
+def extract(items: DataFrame, model: Callable[[list[dict]], object] | None = None, size: int = BATCH, budget: int | None = None, retries: int | None = None, log: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """item_id, keyword, rank, method: a model's keywords where its batch is valid, the fallback's elsewhere.
 
-
-def extract(items: DataFrame, model: Callable[[list[dict]], str] | None = None, size: int = BATCH, budget: int | None = None) -> DataFrame:
-    """item_id, keyword, rank, method: a model's keywords where its batch is valid, the fallback's elsewhere."""
-    routed = batches(items, size, 0 if model is None else budget)
+    ``budget`` bounds the calls, ``retries`` the second tries after a malformed reply (None: one a batch); ``log`` is given the calls made.
+    Calls are made once: they are written to the shared folder before they are used.
+    """
     text = F.concat_ws("\n", "title", F.nullif("summary", F.lit("")))
     if model is None:
-        return ranked(routed.select("item_id", fallback_keywords(text).alias("keywords"))).withColumn("method", F.lit("fallback"))
-    asked = routed.where("route = 'llm'")
-    found = checked_replies(ask(asked, model), asked).where("ok")
+        return ranked(items.select("item_id", fallback_keywords(text).alias("keywords"))).withColumn("method", F.lit("fallback"))
+    routed = cut(batches(items, size))
+    made = cut(ask(routed, model, budget, retries))
+    if log is not None:
+        log(made)
+    found = checked_replies(made.where("valid").select("batch", "reply"), routed).where("ok")
     told = ranked(found).withColumn("method", F.lit("llm"))
     rest = routed.withColumn("__id", F.col("item_id").cast("string")).join(found.select(F.col("item_id").alias("__id")), "__id", "left_anti")
     return told.unionByName(ranked(rest.select(F.col("__id").alias("item_id"), fallback_keywords(text).alias("keywords"))).withColumn("method", F.lit("fallback")))
 
 
-def payloads(asked: DataFrame, cap: int = 500) -> DataFrame:
-    """(batch, payload): the JSON that describes a batch's items, summaries cut to ``cap``."""
-    one = F.struct(F.col("item_id").cast("string").alias("item_id"), "title", F.substring(F.coalesce("summary", F.lit("")), 1, cap).alias("summary"))
+def payloads(asked: DataFrame, cap: int = 500, transcripts: DataFrame | None = None) -> DataFrame:
+    """(batch, payload): the JSON that describes a batch's items, summaries cut to ``cap``.
+
+    With ``transcripts`` (transcript_ref, transcript) an item of kind youtube that has one carries an excerpt of it.
+    """
+    fields = [F.col("item_id").cast("string").alias("item_id"), F.col("title"), F.substring(F.coalesce("summary", F.lit("")), 1, cap).alias("summary")]
+    if transcripts is not None:
+        told = transcripts.where("transcript <> ''").select("transcript_ref", excerpt_udf("transcript").alias("__excerpt"))
+        asked = asked.join(told, "transcript_ref", "left")
+        fields.append(F.when(F.col("kind") == "youtube", F.col("__excerpt")).alias("transcript"))
+    one = F.struct(*fields)
     return asked.groupBy("batch").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct(F.col("item_id").alias("k"), one.alias("v")))), lambda x: x["v"])).alias("payload"))
 
 
@@ -195,6 +202,14 @@ def digest_reply(text: str):
 
 
 
+def eval_items(cases: DataFrame, at: str) -> DataFrame:
+    """Labelled cases as items, so that they take the same way as any other; what extraction doesn't look at is filled in."""
+    given = {"item_id": F.col("item_id"), "title": F.col("title"), "summary": F.col("summary"), "source_id": F.lit("eval"), "kind": F.lit("rss"), "published_at": F.lit(at), "fetched_at": F.lit(at)}
+    made = {"canonical_url": F.concat(F.lit("eval:"), "item_id"), "content_hash": F.concat(F.lit("eval-"), "item_id")}
+    empty = {c: F.lit(None).cast("string") for c in ("external_id", "author", "transcript_ref", "lang")}
+    return cases.select(*(c.alias(name) for name, c in (given | made | empty).items()))
+
+
 # pipelines
 def quality_gate(keywords: DataFrame, limit: int = 60) -> None:
     """Raises where a keyword is longer than ``limit``."""

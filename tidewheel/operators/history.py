@@ -49,8 +49,8 @@ def health(log: DataFrame, quiet: Column | None = None) -> DataFrame:
 
 
 def last_attempt(log: DataFrame) -> DataFrame:
-    """source_id, last_at: of the last attempt in append order."""
-    return attempts(log).groupBy("source_id").agg(F.max_by("started_at", "seq").alias("last_at"))
+    """source_id, last_at: of the last attempt by time, whatever order the log was appended in."""
+    return attempts(log).groupBy("source_id").agg(F.max("started_at").alias("last_at"))
 
 
 def cadence(sources: DataFrame, log: DataFrame, now: Column, hours: Column) -> DataFrame:
@@ -61,6 +61,18 @@ def cadence(sources: DataFrame, log: DataFrame, now: Column, hours: Column) -> D
     return joined.withColumn("due", due)
 
 
+def fetch_results(decided: DataFrame, fetched: DataFrame, run_id: str, at: Column) -> DataFrame:
+    """Log rows of a run: a row ``skipped`` for each source that isn't due, and one for each that was fetched.
+
+    ``decided`` is that of ``cadence``, ``fetched`` has source_id, status, items_new, error, rung and resolved_url.
+    """
+    columns = ["source_id", "status", "items_new", "error", "rung", "resolved_url"]
+    none = F.lit(None).cast("string")
+    skipped = decided.where(~F.col("due")).select("source_id", F.lit("skipped").alias("status"), F.lit(0).cast(fetched.schema["items_new"].dataType).alias("items_new"), *(none.alias(c) for c in columns[3:]))
+    both = skipped.unionByName(fetched.join(decided.where("due").select("source_id"), "source_id", "left_semi").select(*columns))
+    return both.withColumns({"run_id": F.lit(run_id), "started_at": at})
+
+
 def fetchable(sources: DataFrame, groups: DataFrame) -> DataFrame:
     """Of enabled groups: enabled sources, and dead ones that have evidence to re-check."""
     open_groups = groups.where("enabled").select("group_id")

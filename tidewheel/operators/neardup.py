@@ -51,6 +51,14 @@ def collapse_pages(paged: DataFrame, limit: int = PAGE_DISTANCE) -> DataFrame:
     return _clusters(paged, ["page"], ["place"], True, limit, "content_hash", "item_id").join(paged.select("page", "item_id", "place"), ["page", "item_id"])
 
 
+def paginate(groups: DataFrame, order: list[Column], per_page: int = 20) -> DataFrame:
+    """Collapsed groups with page and place: pages of groups rather than of items, for sets that are collapsed before they are paged."""
+    from tidewheel.operators.trends import numbered
+
+    rows = numbered(groups, order)
+    return rows.withColumns({"page": F.floor((F.col("rn") - 1) / per_page) + 1, "place": (F.col("rn") - 1) % per_page + 1}).drop("rn")
+
+
 def group_near_duplicates(items: DataFrame, by: list[str], limit: int = GROUP_DISTANCE) -> DataFrame:
     """Greedy clusters of each group in the order (published_at, item_id); groups are bounded sets such as a page or a window."""
     return _clusters(items, by, ["published_at", "item_id"], True, limit, "content_hash", "item_id")

@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.text import shorten
 from tidewheel.functions.timewin import to_iso
 from tidewheel.functions.urls import published_url_udf
 
@@ -72,6 +73,65 @@ def patch_lines(report: DataFrame) -> DataFrame:
     return changed.select("group_id", F.concat(F.lit("- id: "), F.col("source_id").cast("string"), F.lit("\n  status: "), "proposed_status", F.lit("\n  evidence: "), "reason").alias("patch"))
 
 
+def gate_lines(daily: bool, weekly: bool) -> str:
+    """What is due, a ``key=value`` a line."""
+    return "\n".join(f"{name}={str(flag).lower()}" for name, flag in (("daily", daily), ("weekly", weekly)))
+
+
+def eval_report(scored: DataFrame, cases: DataFrame) -> DataFrame:
+    """(n, line): a Markdown report of scores (item_id, score) with the cases' titles, keywords found and keywords expected, in the order of item_id."""
+    none = F.array().cast("array<string>")
+    number = lambda c: F.format_string("%.3f", c)
+    rows = cases.join(scored.select("item_id", "score"), "item_id", "left")
+    cells = (shorten(F.col("title")), F.when(F.col("score").isNotNull(), number("score")).otherwise(F.lit("TODO")), F.array_join(F.coalesce("predicted", none), ", "), F.array_join(F.coalesce("expected", none), ", "))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("item_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("x")))), lambda r: r["x"])
+    whole = rows.agg(F.avg("score").alias("mean"), F.count("score").alias("labelled"), F.count(F.lit(1)).alias("n"), listed.alias("rows"))
+    unlabelled = (F.col("n") - F.col("labelled")).cast("string")
+    head = F.when(F.col("mean").isNull(), F.concat(F.lit("mean jaccard: n/a (0/"), F.col("n").cast("string"), F.lit(" labelled)"))).otherwise(
+        F.concat(F.lit("mean jaccard: "), number("mean"), F.lit(" ("), F.col("labelled").cast("string"), F.lit(" labelled / "), unlabelled, F.lit(" unlabelled)"))
+    )
+    lines = F.concat(F.array(head, F.lit(""), F.lit("| title | jaccard | predicted | expected |"), F.lit("|---|---|---|---|")), F.col("rows"))
+    return whole.select(F.posexplode(lines).alias("n", "line"))
+
+
+def asset_versions(files: DataFrame) -> DataFrame:
+    """(name, version): the first eight hex digits of each file's hash, from rows of the binary file source."""
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.substring(F.sha2("content", 256), 1, 8).alias("version")).orderBy("name")
+
+
+# datasets of the pages that show them
+def sources_by_group(groups: DataFrame, sources: DataFrame) -> DataFrame:
+    """All groups by id, each with its sources by id; a group without any has an empty array."""
+    columns = [c for c in sources.columns if c != "group_id"]
+    own = sources.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("source_id", *(c for c in columns if c != "source_id")))).alias("sources"))
+    return groups.join(own, "group_id", "left").withColumn("sources", F.coalesce("sources", F.filter(F.array(F.struct(*(F.lit(None).cast(sources.schema[c].dataType).alias(c) for c in ["source_id", *(c for c in columns if c != "source_id")]))), lambda _: F.lit(False)))).orderBy("group_id")
+
+
+def linked_keywords(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows of keywords with ``slug``, the page to link to, which is null where a keyword has none."""
+    return rows.join(pages.select("keyword", "slug"), "keyword", "left").withColumn("linked", F.col("slug").isNotNull())
+
+
+def home_page(cloud: DataFrame, stats: DataFrame, latest: DataFrame, digests: DataFrame) -> DataFrame:
+    """One row: the arrays that the front page shows, each in its own order."""
+    listed = lambda df, *order: df.agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("x"))))["x"].alias("v"))
+    newest = lambda df, *order: df.agg(F.reverse(F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("x")))))["x"].alias("v"))
+    parts = {
+        "cloud": listed(cloud, "keyword"), "stats": stats.agg(F.first(F.struct(*stats.columns)).alias("v")), "latest": newest(latest, "published_at", "item_id"),
+        "digests": newest(digests, "period_start", "created_at", "digest_id"),
+    }
+    found = [df.select(F.to_json("v").alias(name)) for name, df in parts.items()]
+    out = found[0]
+    for other in found[1:]:
+        out = out.crossJoin(other)
+    return out
+
+
+def health_page(view: DataFrame) -> DataFrame:
+    """(section, rows): sources that are live and that are disabled, by id."""
+    return view.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("source_id", *(c for c in view.columns if c not in ("section", "source_id"))))).alias("rows")).orderBy("section")
+
+
 def size_report(sizes: DataFrame, warn: int = 100 << 20, fail: int = 200 << 20) -> DataFrame:
     """One row: total, class, and the folders' bytes in order."""
     from tidewheel.functions.text import size_class

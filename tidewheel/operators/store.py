@@ -73,6 +73,19 @@ class Store:
         """Overwrites the partitions that ``rows`` (with ``dt``) hold, and no other."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(self.path(table))
 
+    def rewrite(self, table: str, schema: T.StructType, changes: DataFrame, keys: list[str], columns: list[str]) -> int:
+        """``columns`` of the rows that ``changes`` names; the number of rows that match.  Rows stay in their partition, and only partitions with a match are written."""
+        truth = self.read(table, schema)
+        hit = truth.join(changes, keys, "left_semi")
+        touched = {r["dt"]: r["n"] for r in hit.groupBy("dt").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if touched:
+            staged = f"{self.root}/.staged-{table}"
+            rewritten(truth.where(F.col("dt").isin(*touched)), changes, keys, columns).write.mode("overwrite").partitionBy("dt").parquet(staged)
+            self.replace_partitions(table, self.spark.read.schema(truth.schema).parquet(staged))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        return sum(touched.values())
+
     def delete(self, table: str, schema: T.StructType, ids: DataFrame, keys: list[str]) -> int:
         """Delete by key; partitions without a match aren't rewritten, emptied ones are removed."""
         truth = self.read(table, schema)

@@ -46,11 +46,6 @@ def two_windows(items: DataFrame, keywords: DataFrame, rules: Rules, now: Span,
     )
 
 
-def _top(counts: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
-    order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return counts.withColumn("rn", F.row_number().over(order.orderBy(F.desc("cnt"), "keyword"))).where(F.col("rn") <= limit)
-
-
 def cloud(
     items: DataFrame, keywords: DataFrame, rules: Rules, now: Span, before: Span, limit: int = 60, least: int = 3, ratio: float = 3.0
 ) -> DataFrame:
@@ -111,8 +106,10 @@ def last_contributed(items: DataFrame) -> DataFrame:
 
 def item_tags(ids: DataFrame, keywords: DataFrame, rules: Rules) -> DataFrame:
     """item_id, tags: sorted distinct canonical keywords; an empty array where there are none."""
-    tags = canonical(keywords.select("item_id", "keyword"), rules).groupBy("item_id").agg(F.sort_array(F.collect_set("keyword")).alias("tags"))
-    return ids.select("item_id").distinct().join(tags, "item_id", "left").select("item_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    own = ids.select("item_id").distinct()
+    wanted = keywords.select("item_id", "keyword").join(own, "item_id", "left_semi")  # only these are canonicalised and grouped
+    tags = canonical(wanted, rules).groupBy("item_id").agg(F.sort_array(F.collect_set("keyword")).alias("tags"))
+    return own.join(tags, "item_id", "left").select("item_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def category_item_count(items: DataFrame, sources: DataFrame, groups: DataFrame, span: Span) -> DataFrame:
@@ -158,9 +155,12 @@ def cooccurrence(items: DataFrame, keywords: DataFrame, rules: Rules, span: Span
     return ranked.where(F.col("rn") <= limit).select("keyword", "other", "n", "rn")
 
 
-def latest_by_kind(items: DataFrame, keywords: DataFrame, rules: Rules, span: Span, limit: int = 5, by: tuple[str, ...] = ("keyword", "kind")) -> DataFrame:
-    """The newest ``limit`` items of each keyword and kind."""
-    once = mentions(items, keywords, rules, span).select(*by, "item_id", "published_at").distinct()
+def latest_by_kind(
+    items: DataFrame, keywords: DataFrame, rules: Rules, span: Span, limit: int = 5, by: tuple[str, ...] = ("keyword", "kind"), only: DataFrame | None = None
+) -> DataFrame:
+    """The newest ``limit`` items of each keyword and kind, of the combinations in ``only`` if that is given."""
+    found = mentions(items, keywords, rules, span).select(*by, "item_id", "published_at")
+    once = (found if only is None else found.join(only.select(*by), list(by), "left_semi")).distinct()
     ranked = once.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("published_at"), F.desc("item_id"))))
     return ranked.where(F.col("rn") <= limit)
 
@@ -207,6 +207,14 @@ def pages(items: DataFrame, per_page: int = 20) -> DataFrame:
     )
 
 
+def page_index(items: DataFrame, per_page: int = 20) -> DataFrame:
+    """page, total_pages, items, has_prev, has_next of every page; without items there is one page, which is empty."""
+    count = items.agg(F.count(F.lit(1)).alias("n")).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("n") / per_page)).cast("long"))
+    rows = count.select("n", "total_pages", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total_pages"))).alias("page"))
+    left = F.least(F.lit(per_page).cast("long"), F.col("n") - (F.col("page") - 1) * per_page)
+    return rows.select("page", "total_pages", left.alias("items"), (F.col("page") > 1).alias("has_prev"), (F.col("page") < F.col("total_pages")).alias("has_next"))
+
+
 def facets(page_items: DataFrame) -> DataFrame:
     """Distinct sorted kinds, sources and keywords of each page (items with ``tags``)."""
     return page_items.groupBy("page").agg(

@@ -22,7 +22,6 @@ class Tables:
     """Lazy domain views of one folder of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
@@ -91,11 +90,11 @@ VIEWS = {
       SELECT *, row_number() OVER (ORDER BY cnt DESC, keyword) AS rn FROM counts WHERE cnt > 0) WHERE rn <= 20 OR keyword IN ('small widget', 'blue anvil')""",
     "attempts": "SELECT * FROM log WHERE status <> 'skipped'",
     "health": """SELECT source_id, count(*) AS attempts, count(*) FILTER (status = 'ok') AS ok_attempts, count(*) FILTER (status = 'empty') AS empty_attempts,
-      count(*) FILTER (status = 'error') AS failed_attempts, count(*) FILTER (status IN ('ok', 'empty')) AS successful_attempts, arg_max(status, seq) AS last_status,
+      count(*) FILTER (status = 'error') AS failed_attempts, count(*) FILTER (status IN ('ok', 'empty')) AS successful_attempts, arg_max(status, (started_at, seq)) AS last_status,
       max(started_at) AS last_started_at, max(started_at) FILTER (status IN ('ok', 'empty')) AS last_successful_at, max(started_at) FILTER (status = 'error') AS last_failed_at,
-      arg_max(error, seq) FILTER (status = 'error') AS last_error, arg_max(rung, seq) AS last_rung, sum(items_new)::BIGINT AS total_items_new, arg_max(items_new, seq) AS latest_items_new,
-      count(*) FILTER (status = 'error' AND seq > good) AS consecutive_failures
-      FROM (SELECT *, coalesce(max(CASE WHEN status IN ('ok', 'empty') THEN seq END) OVER (PARTITION BY source_id), -1) AS good FROM attempts) GROUP BY source_id""",
+      arg_max(error, (started_at, seq)) FILTER (status = 'error') AS last_error, arg_max(rung, (started_at, seq)) AS last_rung, sum(items_new)::BIGINT AS total_items_new, arg_max(items_new, (started_at, seq)) AS latest_items_new,
+      count(*) FILTER (status = 'error' AND (good IS NULL OR (started_at, seq) > good)) AS consecutive_failures
+      FROM (SELECT *, max(CASE WHEN status IN ('ok', 'empty') THEN (started_at, seq) END) OVER (PARTITION BY source_id) AS good FROM attempts) GROUP BY source_id""",
     "health_rows": """SELECT *, consecutive_failures >= 5 AS flagged, CASE WHEN last_error IS NULL THEN NULL WHEN last_error = 'HTTP 404' THEN 'http_4xx' WHEN last_error = 'HTTP 503' THEN 'http_5xx'
       WHEN last_error = 'SSL handshake' THEN 'tls' WHEN last_error = 'read timed out' THEN 'connection' ELSE 'other' END AS error_class FROM health""",
     "last_items": "SELECT source_id, max(published_at) AS last_at FROM items GROUP BY source_id",

@@ -182,7 +182,7 @@ def source_health(t: Tables) -> DataFrame:
 
 @query("""SELECT source_id, hours, CASE WHEN hours <= 0 OR last_at IS NULL THEN true ELSE epoch_us(TIMESTAMP '2024-01-31 12:00:00') - epoch_us(last_at) >= hours::BIGINT * 3600000000 END AS due FROM (
   SELECT source_id, CASE WHEN status = 'dead' THEN 720 WHEN kind = 'machinery' THEN 20 ELSE 2 * (source_id % 3) END::INTEGER AS hours, last_at
-  FROM sources LEFT JOIN (SELECT source_id, arg_max(started_at, seq) AS last_at FROM attempts GROUP BY 1) USING (source_id))""")
+  FROM sources LEFT JOIN (SELECT source_id, max(started_at) AS last_at FROM attempts GROUP BY 1) USING (source_id))""")
 def cadence_due(t: Tables) -> DataFrame:
     hours = F.when(F.col("status") == "dead", F.lit(720)).when(F.col("kind") == "machinery", F.lit(20)).otherwise(2 * (F.col("source_id") % 3)).cast("int")
     return history.cadence(t.sources, t.log, F.lit(LOG_NOW), hours).select("source_id", "hours", "due")
@@ -252,7 +252,7 @@ def digest_template(t: Tables) -> DataFrame:
     return digest.template(_digest_rows(t), counts, "daily", "1998-07-07", min_items=3)
 
 
-def _digests(t: Tables) -> DataFrame:
+def digests(t: Tables) -> DataFrame:
     """Stand-ins for stored digests: one per order status, day and region of the customer."""
     rows = trends.in_category(t.items, t.sources, t.groups).where("item_id % 50 = 0")
     return rows.select(
@@ -261,26 +261,26 @@ def _digests(t: Tables) -> DataFrame:
     )
 
 
-_DIGESTS = """(SELECT 'daily-' || category || '-' || strftime(published_at, '%Y-%m-%d') AS digest_id, category, published_at AS period_start, item_id AS created_at, CASE WHEN item_id % 100 = 0 THEN 'template' ELSE 'model' END AS model
+DIGESTS_SQL = """(SELECT 'daily-' || category || '-' || strftime(published_at, '%Y-%m-%d') AS digest_id, category, published_at AS period_start, item_id AS created_at, CASE WHEN item_id % 100 = 0 THEN 'template' ELSE 'model' END AS model
   FROM items JOIN star USING (source_id) WHERE item_id % 50 = 0)"""
 
 
-@query(f"SELECT category, arg_max(digest_id, (period_start, created_at, digest_id)) AS digest_id, {stamp('max(period_start)')} AS period_start FROM {_DIGESTS} GROUP BY category")
+@query(f"SELECT category, arg_max(digest_id, (period_start, created_at, digest_id)) AS digest_id, {stamp('max(period_start)')} AS period_start FROM {DIGESTS_SQL} GROUP BY category")
 def latest_digest_per_category(t: Tables) -> DataFrame:
-    return digest.latest_per_category(_digests(t)).withColumn("period_start", shown("period_start"))
+    return digest.latest_per_category(digests(t)).withColumn("period_start", shown("period_start"))
 
 
 @query(f"""SELECT * FROM (SELECT category, key, 'daily-' || category || '-' || key AS digest_id FROM (SELECT DISTINCT category FROM groups WHERE enabled) CROSS JOIN
-  (SELECT strftime(DATE '1998-07-08' - INTERVAL (d) DAY, '%Y-%m-%d') AS key FROM (SELECT unnest(range(1, 31)) AS d))) WHERE digest_id NOT IN (SELECT digest_id FROM {_DIGESTS} WHERE model <> 'template')""")
+  (SELECT strftime(DATE '1998-07-08' - INTERVAL (d) DAY, '%Y-%m-%d') AS key FROM (SELECT unnest(range(1, 31)) AS d))) WHERE digest_id NOT IN (SELECT digest_id FROM {DIGESTS_SQL} WHERE model <> 'template')""")
 def digest_due(t: Tables) -> DataFrame:
     periods = t.spark.createDataFrame([(s.key,) for s in timewin.recent_days(INSTANT, 30)], "key string")
     categories = t.groups.where("enabled").select("category").distinct()
-    return digest.due(categories, periods, _digests(t), "daily").select("category", "key", "digest_id")
+    return digest.due(categories, periods, digests(t), "daily").select("category", "key", "digest_id")
 
 
-@query(f"SELECT coalesce(bool_and(c.category IN (SELECT category FROM {_DIGESTS} WHERE period_start >= TIMESTAMP '2001-01-01')), true) AS all_done FROM (SELECT DISTINCT category FROM groups WHERE enabled) c")
+@query(f"SELECT coalesce(bool_and(c.category IN (SELECT category FROM {DIGESTS_SQL} WHERE period_start >= TIMESTAMP '2001-01-01')), true) AS all_done FROM (SELECT DISTINCT category FROM groups WHERE enabled) c")
 def digest_all_done(t: Tables) -> DataFrame:
-    done = _digests(t).where(F.col("period_start") >= F.lit("2001-01-01").cast("timestamp")).select("category").distinct()
+    done = digests(t).where(F.col("period_start") >= F.lit("2001-01-01").cast("timestamp")).select("category").distinct()
     return digest.all_done(t.groups.where("enabled").select("category").distinct(), done)
 
 
@@ -302,7 +302,7 @@ def fallback_only_items(t: Tables) -> DataFrame:
     return extract.fallback_only(t.keywords)
 
 
-def _documents(t: Tables) -> DataFrame:
+def documents(t: Tables) -> DataFrame:
     lines = F.split("text", "\n", 2)
     return t.raw("documents").select(F.col("doc_id").alias("item_id"), lines[0].alias("title"), F.substring(F.get(lines, F.lit(1)), 1, udfs.SUMMARY_CHARS).alias("summary"))
 
@@ -314,12 +314,13 @@ def extract_batches(t: Tables) -> DataFrame:
 
 @query()
 def fallback_keywords(t: Tables) -> DataFrame:
-    return extract.extract(_documents(t))
+    return extract.extract(documents(t))
 
 
-@query()
+@query("""SELECT batch, to_json(list(struct_pack(item_id := doc_id::VARCHAR, title := split_part(text, chr(10), 1), summary := substr(CASE WHEN strpos(text, chr(10)) > 0 THEN text[strpos(text, chr(10)) + 1:] ELSE '' END, 1, 500)) ORDER BY doc_id))::VARCHAR AS payload
+  FROM (SELECT doc_id, text, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 25 AS BIGINT) AS batch FROM documents) GROUP BY batch""")
 def prompt_payloads(t: Tables) -> DataFrame:
-    return extract.payloads(extract.batches(_documents(t)))
+    return extract.payloads(extract.batches(documents(t)))
 
 
 @query("""WITH d AS (SELECT doc_id AS item_id, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]+')) AS expected, list_distinct(regexp_extract_all(lower(source || ' ' || lang || ' ' || split_part(text, '.', 1)), '[a-z]+')) AS predicted FROM documents),
@@ -384,45 +385,48 @@ def canonical_urls(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", urls.canonical_url_udf("url").alias("url"))
 
 
-@query()
+@query("""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), ':(80|443)$', '') || CASE WHEN rest = '' OR rest[1] IN ('?', '#') THEN '/' ELSE '' END || rest AS url
+  FROM (SELECT *, regexp_extract(url, '://[^/?#]+(.*)$', 1) AS rest FROM pages)""")
 def published_urls(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", urls.published_url_udf("url").alias("url"))
 
 
-@query()
+@query("""SELECT page_id, split_part(base, '?', 1) || CASE WHEN q = '' THEN '' ELSE '?' || regexp_replace(q, '(^|&)(token)=[^&]*', '\\1\\2=REDACTED', 'g') END AS url FROM (
+  SELECT page_id, base, CASE WHEN strpos(base, '?') > 0 THEN base[strpos(base, '?') + 1:] ELSE '' END AS q FROM (SELECT page_id, split_part(url || '&token=1', '#', 1) AS base FROM pages))""")
 def redacted_urls(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", urls.redacted_url_udf(F.concat("url", F.lit("&token=1"))).alias("url"))
 
 
-@query()
+@query("""SELECT page_id, rtrim(substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:script[^>]*>.*?</script|style[^>]*>.*?</style)[^>]*>', ' ', 'g'), '<[^>]+>', ' ', 'g'),
+  '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 2000)) AS summary FROM pages""")
 def clean_pages(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", udfs.clean_summary_udf("html").alias("summary"))
 
 
-@query()
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")
 def page_titles(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", udfs.clean_title_udf(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
 
 
-@query()
+@query("SELECT page_id, CAST(NULL AS VARCHAR) AS feed, 1 AS alternates FROM pages")
 def feed_discovery(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", urls.discovered_feed_udf("html", "url").alias("feed"), F.size(urls.alternate_endpoints_udf("url")).alias("alternates"))
 
 
 @query()
 def title_simhash(t: Tables) -> DataFrame:
-    return _documents(t).select("item_id", udfs.simhash_udf("title").alias("content_hash"))
+    return documents(t).select("item_id", udfs.simhash_udf("title").alias("content_hash"))
 
 
 @query("""SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM (SELECT doc_id, ('0x' || md5(split_part(text, chr(10), 1))[1:15])::BIGINT AS h FROM documents) a
   JOIN (SELECT doc_id, ('0x' || md5(split_part(text, chr(10), 1))[1:15])::BIGINT AS h FROM documents) b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3""")
 def hamming_pairs(t: Tables) -> DataFrame:
-    twin = _documents(t).select("item_id", F.concat(F.lit("0"), F.substring(F.md5("title"), 1, 15)).alias("content_hash"))
+    twin = documents(t).select("item_id", F.concat(F.lit("0"), F.substring(F.md5("title"), 1, 15)).alias("content_hash"))
     return neardup.near_pairs(twin, 3)
 
 
 def _stamped(t: Tables) -> DataFrame:
-    return _documents(t).select("item_id", F.timestamp_seconds(F.col("item_id") * 60).alias("published_at"), udfs.simhash_udf("title").alias("content_hash"))
+    return documents(t).select("item_id", F.timestamp_seconds(F.col("item_id") * 60).alias("published_at"), udfs.simhash_udf("title").alias("content_hash"))
 
 
 @query()
@@ -435,7 +439,8 @@ def near_dup_groups(t: Tables) -> DataFrame:
     return neardup.group_near_duplicates(_stamped(t).withColumn("window", F.floor(F.col("item_id") / 100)), ["window"])
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN length(flat) <= 1500 THEN flat WHEN length(said) > 750 THEN said WHEN length(word) >= 750 THEN rtrim(word) ELSE rtrim(flat[:1500]) END AS excerpt FROM (
+  SELECT *, regexp_extract(flat[:1500], '^(.*[.!?]) ', 1) AS said, regexp_extract(flat[:1500], '^(.*) ', 1) AS word FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents))""")
 def transcript_excerpt(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", udfs.excerpt_udf("text").alias("excerpt"))
 
@@ -445,7 +450,10 @@ def keyword_slugs(t: Tables) -> DataFrame:
     return t.raw("part").select("p_name").distinct().select("p_name", udfs.keyword_slug_udf("p_name").alias("slug"))
 
 
-@query()
+@query(f"""SELECT keyword, array_to_string(list(printf('%.2f', 2 + d * (116 / 29.0::DOUBLE)) || ',' || CASE WHEN hi = lo THEN '12.00' ELSE printf('%.2f', 2 + 20 * (1 - (n - lo) / (hi - lo)::DOUBLE)) END ORDER BY d), ' ') AS points FROM (
+  SELECT *, min(n) OVER (PARTITION BY keyword) AS lo, max(n) OVER (PARTITION BY keyword) AS hi FROM (SELECT k.keyword, d.d, count(DISTINCT c.item_id) AS n FROM (SELECT keyword FROM canon WHERE {MONTH_SQL} GROUP BY 1 HAVING count(DISTINCT item_id) >= 3) k
+  CROSS JOIN (SELECT unnest(range(30)) AS d) d LEFT JOIN (SELECT *, date_diff('day', DATE '1998-06-08', CAST(timezone('America/Edmonton', timezone('UTC', published_at)) AS DATE)) AS day FROM canon WHERE {MONTH_SQL}) c
+  ON c.keyword = k.keyword AND c.day = d.d GROUP BY 1, 2)) GROUP BY keyword""")
 def keyword_sparklines(t: Tables) -> DataFrame:
     counts = trends.timeline(t.items, t.keywords, RULES, MONTH)
     return counts.select("keyword", udfs.sparkline_udf("counts").alias("points"))

@@ -14,10 +14,10 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
-from urllib.parse import urlsplit, urlunsplit
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -203,6 +203,58 @@ def acquire(url: str, get: Callable[[str], bytes], mirror: str | None = None) ->
     return {"items": [], "rung": None, "resolved_url": None, "trace": json.dumps(trace, sort_keys=True), "error": "; ".join(t.get("reason", "") for t in trace)}
 
 
+def listing_address(url: str, limit: int = CAP) -> str:
+    """A listing's address with its number of rows; other parameters stay."""
+    parts = urlsplit(url)
+    query = dict(parse_qsl(parts.query)) | {"limit": str(limit)}
+    return urlunsplit((parts.scheme, parts.netloc, parts.path, urlencode(query), parts.fragment))
+
+
+def listing_feed(url: str) -> str:
+    """The feed beside a listing."""
+    return (url[: -len(".json")] if url.endswith(".json") else url.rstrip("/")) + ".rss"
+
+
+def listing_items(body: bytes) -> list[dict]:
+    """Raw items of listing JSON; one bad child makes the whole listing bad."""
+    try:
+        children = [c["data"] for c in json.loads(body)["data"]["children"]]
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError("malformed listing json") from e
+    out = []
+    for d in children:
+        link = f"https://www.reddit.com{d['permalink']}" if d.get("permalink") else d.get("url") or ""
+        at = d.get("created_utc")
+        out.append({
+            "url": link, "title": clean_title(d.get("title") or ""), "external_id": d.get("id") or None, "summary": d.get("selftext") or None, "author": d.get("author"),
+            "published_at": None if at is None else datetime.fromtimestamp(int(at), UTC).isoformat(), "lang": None,
+        })
+    return out
+
+
+def acquire_listing(url: str, get: Callable[[str], bytes]) -> dict:
+    """As ``acquire``, for a listing: its JSON, and where that isn't served the feed beside it, once.  JSON that is served but malformed ends it."""
+    trace: list[dict] = []
+
+    def done(items: list[dict], rung: str | None, address: str | None, error: str | None) -> dict:
+        return {"items": items[:CAP], "rung": rung, "resolved_url": address, "trace": json.dumps(trace, sort_keys=True), "error": error}
+
+    for rung, address, read in (("direct", listing_address(url), listing_items), ("alt_endpoint", listing_feed(url), parse_feed)):
+        try:
+            body = get(checked_address(address))
+        except (ValueError, OSError) as e:
+            trace.append({"rung": rung, "url": redacted_url(address), "outcome": "error", "reason": str(e)})
+            continue
+        try:
+            items = read(body)
+        except ValueError as e:
+            trace.append({"rung": rung, "url": redacted_url(address), "outcome": "error", "reason": str(e)})
+            return done([], None, None, str(e))
+        trace.append({"rung": rung, "url": redacted_url(address), "outcome": "served", "items": min(len(items), CAP)})
+        return done(items, rung, None if rung == "direct" else address, None)
+    return done([], None, None, "; ".join(t["reason"] for t in trace))
+
+
 def fetch_all(sources: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
     """One row per source: items (array), rung, resolved_url, trace, error; sources are spread over tasks and fail alone."""
     item = f"array<struct<{RAW.replace(' string', ': string')}>>"
@@ -212,7 +264,7 @@ def fetch_all(sources: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
 
         kind = pa.list_(pa.struct([(c.split()[0], pa.string()) for c in RAW.split(", ")]))
         for frame in frames:
-            rows = [(i, acquire(u, get, m)) for i, u, m in zip(*(c.to_pylist() for c in frame.columns))]
+            rows = [(i, acquire_listing(u, get) if k == "reddit" else acquire(u, get, m)) for i, u, m, k in zip(*(c.to_pylist() for c in frame.columns))]
             if rows:
                 fields = ("rung", "resolved_url", "trace", "error")
                 yield pa.record_batch(
@@ -220,7 +272,8 @@ def fetch_all(sources: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
                     names=["source_id", "items", *fields],
                 )
 
-    narrow = sources.select(F.col("source_id").cast("string").alias("source_id"), "url", "active_url").repartition("source_id")
+    kind = F.col("kind") if "kind" in sources.columns else F.lit("rss").alias("kind")
+    narrow = sources.select(F.col("source_id").cast("string").alias("source_id"), "url", "active_url", kind).repartition("source_id")
     found = narrow.mapInArrow(run, f"source_id string, items {item}, rung string, resolved_url string, trace string, error string")
     return found.withColumn("reason", F.when(F.col("error").isNotNull(), coarse_error(F.col("error"))))
 
@@ -234,13 +287,16 @@ class _Files(InputPartition):
 
 def _rows(path: str) -> Iterator[tuple]:
     with open(path, "rb") as f:
-        content = f.read()
+        yield from _parsed(os.path.basename(path), f.read())
+
+
+def _parsed(name: str, content: bytes) -> Iterator[tuple]:
     fields = [c.split()[0] for c in RAW.split(", ")]
     try:
         for k, e in enumerate(parse_feed(content)[:CAP]):
-            yield (os.path.basename(path), k, *(e[c] for c in fields), None)
+            yield (name, k, *(e[c] for c in fields), None)
     except ValueError as e:
-        yield (os.path.basename(path), -1, *(None for _ in fields), str(e))
+        yield (name, -1, *(None for _ in fields), str(e))
 
 
 class FeedReader(DataSourceReader):
@@ -257,24 +313,28 @@ class FeedReader(DataSourceReader):
 
 
 class FeedStream(SimpleDataSourceStreamReader):
-    """New files since the last batch, in name order; the offset is the last name."""
+    """New files since the last batch, in order of modification time and name, which are the offset: a file that comes late is read whatever its name.
+
+    For small folders; ``feed_stream`` lists and reads large ones on the executors.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"time": 0, "name": ""}
 
-    def _after(self, name: str) -> list[str]:
-        return sorted(p for p in glob.glob(f"{self.path}/*.xml") if os.path.basename(p) > name)
+    def _after(self, start: dict) -> list[tuple[int, str, str]]:
+        found = ((os.stat(p).st_mtime_ns, os.path.basename(p), p) for p in glob.glob(f"{self.path}/*.xml"))
+        return sorted(f for f in found if f[:2] > (start["time"], start["name"]))
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        paths = self._after(start["after"])
-        end = {"after": os.path.basename(paths[-1])} if paths else start
-        return iter([r for p in paths for r in _rows(p)]), end
+        new = self._after(start)
+        end = {"time": new[-1][0], "name": new[-1][1]} if new else start
+        return iter([r for _, _, p in new for r in _rows(p)]), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for p in self._after(start["after"]) if os.path.basename(p) <= end["after"] for r in _rows(p)])
+        return iter([r for t, name, p in self._after(start) if (t, name) <= (end["time"], end["name"]) for r in _rows(p)])
 
     def commit(self, end: dict) -> None:
         pass
@@ -297,6 +357,23 @@ class FeedPayloads(DataSource):
         return FeedStream(dict(self.options))
 
 
+def feed_stream(spark: SparkSession, folder: str, pattern: str = "*.xml") -> DataFrame:
+    """A stream of file, position, the raw item columns and error, by the file source: files are told by path, listed by Spark and parsed on the executors."""
+    fields = [c.split()[0] for c in RAW.split(", ")]
+
+    def parse(frames):
+        import pyarrow as pa
+
+        for frame in frames:
+            rows = [r for path, content in zip(*(c.to_pylist() for c in frame.columns)) for r in _parsed(os.path.basename(path), content)]
+            if rows:
+                file, position, *rest = zip(*rows)
+                yield pa.record_batch([pa.array(file), pa.array(position, pa.int32()), *(pa.array(c, pa.string()) for c in rest)], names=["file", "position", *fields, "error"])
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "content").mapInArrow(parse, f"file string, position int, {RAW}, error string")
+
+
 # transports
 class Refused(OSError):
     """A response that isn't a success."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -15,10 +17,75 @@ LLM_LOG = "run_id string, purpose string, model string, input_items int, tokens_
 MANIFEST = "run_id string, command string, started_at string, finished_at string, ok boolean, counts map<string, int>, durations_ms map<string, int>, notes array<string>"
 EVAL = "item_id string, title string, summary string, expected_keywords array<string>"
 
-ORDERS = {
-    "items": ("published_at", "item_id"), "item_keywords": ("item_id", "rank", "keyword", "method"), "digests": ("digest_id",),
-    "fetch_log": ("started_at", "__file", "__line"), "llm_log": ("created_at", "run_id", "purpose"),
-}
+
+
+class Record(NamedTuple):
+    """A table of records: its columns, those that may be missing or null, the values of enumerations, its order, and whether more fields may come."""
+
+    schema: str
+    optional: tuple[str, ...]
+    values: dict[str, tuple[str, ...]]
+    order: tuple[str, ...]
+    open: bool = False
+
+
+_KIND = ("rss", "youtube", "reddit", "x")
+_RUNG = ("direct", "alt_endpoint", "autodiscovery", "substack_archive", "mirror", "third_party")
+TABLES = {
+    "items": Record(ITEMS, ("external_id", "summary", "author", "transcript_ref", "lang"), {"kind": _KIND}, ("published_at", "item_id")),
+    "item_keywords": Record(KEYWORDS, ("model",), {"method": ("llm", "fallback")}, ("item_id", "rank", "keyword", "method")),
+    "digests": Record(DIGESTS, (), {"kind": ("daily", "weekly")}, ("digest_id",)),
+    "fetch_log": Record(
+        FETCH_LOG, ("items_new", "error", "duration_ms", "rung", "resolved_url", "acquisition_trace"), {"status": ("ok", "empty", "error", "skipped"), "rung": _RUNG}, ("started_at", "seq"), open=True
+    ),
+    "llm_log": Record(LLM_LOG, ("input_items", "tokens_in", "tokens_out"), {}, ("created_at", "run_id", "purpose")),
+    "eval": Record(EVAL, ("summary", "expected_keywords"), {}, ("item_id",)),
+}
+
+
+def fault(value: Column, record: Column, table: Record) -> Column:
+    """What is wrong with a line of JSON and the record parsed from it, or null: not an object, a wrong type, a missing or further field, a value outside its enumeration."""
+    kind = T.StructType.fromDDL(table.schema)
+    names = [f.name for f in kind]
+    keys = F.json_object_keys(value)
+    # a field that has a value in the JSON and none in the record has another type
+    wrong = [F.when(record[n].isNull() & F.get_json_object(value, f"$.{n}").isNotNull(), F.lit(f"{n}: wrong type")) for n in names]
+    missing = [F.when(record[n].isNull(), F.lit(f"{n}: missing")) for n in names if n not in table.optional]
+    outside = [F.when(~record[n].isin(*allowed), F.concat(F.lit(f"{n}: "), record[n])) for n, allowed in table.values.items()]
+    more = F.array_except(keys, F.array(*map(F.lit, names)))
+    further = [] if table.open else [F.when(F.size(more) > 0, F.concat(F.lit("further fields: "), F.array_join(F.array_sort(more), ", ")))]
+    return F.coalesce(F.when(keys.isNull(), F.lit("not an object")), *wrong, *missing, *outside, *further)
+
+
+def scan(spark: SparkSession, path: str, table: str, one_per_file: bool = False) -> DataFrame:
+    """The records of a table in its order; a missing folder is an empty table, and a faulty record an error that names its file and place.
+
+    Lines of ``*.jsonl`` below ``path``, or one object a ``*.json`` file (``one_per_file``).  Of the fetch log the lines' places (``seq``) keep append order.
+    """
+    own = TABLES[table]
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json" if one_per_file else "*.jsonl")
+    try:
+        text = reader.text(path, wholetext=one_per_file)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], own.schema)
+    seq = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = text.select("value", seq.alias("seq")).where(F.trim("value") != "").select("value", "seq", F.from_json("value", own.schema).alias("r"))
+    broken = fault(F.col("value"), F.col("r"), own)
+    place = F.concat(F.col("seq.f"), F.lit(": "), broken, F.lit(" in "), F.substring("value", 1, 200))
+    checked = rows.select(F.when(broken.isNotNull(), F.raise_error(place).cast(T.StructType.fromDDL(own.schema))).otherwise(F.col("r")).alias("r"), "seq")
+    ordered = checked.select("r.*", "seq").orderBy(*own.order)
+    return ordered if "seq" in own.order else ordered.drop("seq")
+
+
+def faults(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """(file, line, fault) of the faulty lines below ``path``; lines are numbered from 1 in files that were read as a whole."""
+    own = TABLES[table]
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
+    lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "value")).where(F.trim("value") != "")
+    parsed = lines.withColumn("r", F.from_json("value", own.schema))
+    return parsed.select("file", (F.col("n") + 1).alias("line"), fault(F.col("value"), F.col("r"), own).alias("fault")).where("fault IS NOT NULL")
 
 
 def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidewheel.functions.timewin import ZONE, local_date_column
-from tidewheel.operators.store import Store, absent
+from tidewheel.functions.timewin import ZONE
+from tidewheel.operators.store import Store
 
 
 def idempotent_sink(stream: DataFrame, store: Store, table: str, keys: list[str], stamp: str, seq: str, checkpoint: str) -> DataStreamWriter:
@@ -24,10 +24,6 @@ def idempotent_sink(stream: DataFrame, store: Store, table: str, keys: list[str]
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def new_rows(batch: DataFrame, truth: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    return absent(batch, truth, keys, seq)
-
-
 class Streak(StatefulProcessor):
     """Errors in a row of each source: another attempt resets, a skipped one is no attempt."""
 
@@ -52,8 +48,13 @@ def streaks(log: DataFrame) -> DataFrame:
 
 
 def daily_counts(events: DataFrame, lateness: str = "7 days", zone: str = ZONE) -> DataFrame:
-    """Events by local calendar day (days of 23 and 25 hours included); later than ``lateness`` are dropped."""
-    return events.withWatermark("at", lateness).groupBy(F.window("at", "1 hour"), local_date_column(F.col("at"), zone).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """day, n: events by local calendar day (days of 23 and 25 hours included); later than ``lateness`` are dropped.
+
+    Windows are of local wall-clock time, so each is one calendar day, which the watermark closes at its end.
+    """
+    local = events.withColumn("at", F.from_utc_timestamp("at", zone)).withWatermark("at", lateness)
+    counted = local.groupBy(F.window("at", "1 day")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.date_from_unix_date(F.floor(F.unix_micros("window.start") / 86_400_000_000).cast("int")).alias("day"), "n")
 
 
 def trailing_counts(events: DataFrame, days: int = 7, lateness: str = "7 days") -> DataFrame:
