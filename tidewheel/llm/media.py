@@ -115,17 +115,22 @@ def peaks(clips: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fingerprints(clips: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(clip, time in frames, code) of all peak pairs, by clip, time and code."""
+    """(clip, time in frames, code) of all peak pairs, by clip, time and code.
+
+    A peak is paired with the ``FAN`` next peaks of later frames, by frame and band, that are within ``REACH`` frames.
+    """
     clip, frame, band = peaks(clips)
-    held = []
-    for k in range(1, FAN + 1):
-        if len(clip) <= k:
-            break
-        gap = frame[k:] - frame[:-k]
-        use = (clip[k:] == clip[:-k]) & (gap <= REACH)
-        held.append((clip[:-k][use], frame[:-k][use], (band[:-k] << 14 | band[k:] << 6 | gap)[use]))
-    if not held:
+    if not len(clip):
         return (np.zeros(0, np.int64),) * 3
+    when = clip * (int(frame.max()) + 1) + frame  # sorted
+    later, held = np.searchsorted(when, when, side="right"), []
+    for k in range(FAN):
+        own = np.flatnonzero(later + k < len(clip))
+        other = later[own] + k
+        gap = frame[other] - frame[own]
+        use = (clip[other] == clip[own]) & (gap <= REACH)
+        own, other, gap = own[use], other[use], gap[use]
+        held.append((clip[own], frame[own], band[own] << 14 | band[other] << 6 | gap))
     clip, frame, code = (np.concatenate([h[k] for h in held]) for k in range(3))
     order = np.lexsort((code, frame, clip))
     return clip[order], frame[order], code[order]
