@@ -26,6 +26,32 @@ def test_flat_traversal_is_a_walk_of_each_tree():
     assert ((forest.predict(x) >= 0.5) == (y == 1)).mean() > 0.97
 
 
+def test_splits_are_the_best_of_all():
+    """Every split of a tree against trying each value of each feature."""
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 12, (60, 4)).astype(np.float32)
+        y = (rng.random(60) < 0.2 + 0.6 * (x[:, seed % 4] > 5)).astype(float)
+        forest = Q.grow(x, y, trees=1, depth=2, bins=400, least=1.0, ridge=1.0)
+        p = y.mean()
+        g, h = p - y, np.full(60, p * (1 - p))
+        rows = {0: np.arange(60)}
+        for node in range(3):
+            own = rows[node]
+            score = lambda r: g[r].sum() ** 2 / (h[r].sum() + 1.0)
+            best = 0.0
+            for f in range(4):
+                for cut in np.unique(x[:, f]):
+                    left, right = own[x[own, f] <= cut], own[x[own, f] > cut]
+                    if h[left].sum() >= 1.0 and h[right].sum() >= 1.0:
+                        best = max(best, score(left) + score(right) - score(own))
+            f, cut = forest.feature[0, node], forest.cut[0, node]
+            left, right = own[x[own, f] <= cut], own[x[own, f] > cut]
+            got = score(left) + score(right) - score(own) if len(right) else 0.0
+            assert abs(got - best) < 1e-6 or best < 1e-5
+            rows[2 * node + 1], rows[2 * node + 2] = left, right
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").toPandas()

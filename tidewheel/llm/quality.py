@@ -211,7 +211,7 @@ def score(forest: Forest, text: str = "text") -> Column:
 def classify_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, max_rows: int = MAX_ROWS) -> DataFrame:
     """``doc_id, score, keep`` of every row.
 
-    * null, empty or wordless text: score 0, so not kept.
+    * null, empty or wordless text: score 0, so not kept.  Very long texts: statistics of all their words.
     * null ``doc_id``: scored like any other, reported with a null.  Repeated rows: each is scored.
     * ties: a score equal to ``keep_from`` is kept.
     * no labels, or one class only: every text with words has the share of good labels (0.5 if there are none).
@@ -224,5 +224,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    The cases are those of ``classify_quality``: null, empty and wordless texts go, rows without ``doc_id`` are scored like others, equal rows stay or go
+    together, very long texts are scored whole, an empty table stays empty, further columns are kept whatever their names.
+    """
     return docs.where(score(train(docs, labels, max_rows)) >= keep_from)
