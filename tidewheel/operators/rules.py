@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.text import normalize_keyword
 
-#: Rules up to this many entries travel inside the plan; larger ones are joined.
-INLINE = 2000
-
 
 @dataclass(frozen=True)
 class Rules:
@@ -23,21 +21,15 @@ class Rules:
 def canonical(rows: DataFrame, rules: Rules, column: str = "keyword") -> DataFrame:
     """``column`` normalised, then its alias if there is one; rows whose canonical keyword is muted go.
 
-    A mute on the text of an alias doesn't touch what it stands for, and a pin is never resolved.
+    Rules are joined as small tables, whose size Spark knows.  A mute on the text of an alias doesn't touch what it stands for, and a pin is never resolved.
     """
     out = rows.withColumn(column, normalize_keyword(F.col(column)))
+    spark = rows.sparkSession
     if rules.aliases:
-        if len(rules.aliases) <= INLINE:
-            table = F.create_map(*(F.lit(x) for pair in rules.aliases.items() for x in pair))
-            out = out.withColumn(column, F.coalesce(F.try_element_at(table, F.col(column)), F.col(column)))
-        else:
-            names = rows.sparkSession.createDataFrame(list(rules.aliases.items()), f"{column} string, __canonical string")
-            out = out.join(names, column, "left").withColumn(column, F.coalesce("__canonical", column)).drop("__canonical")
+        names = spark.createDataFrame(pa.table({column: list(rules.aliases), "__canonical": list(rules.aliases.values())}))
+        out = out.join(names, column, "left").withColumn(column, F.coalesce("__canonical", column)).drop("__canonical")
     if rules.mute:
-        if len(rules.mute) <= INLINE:
-            out = out.where(~F.col(column).isin(*rules.mute))
-        else:
-            out = out.join(rows.sparkSession.createDataFrame([(m,) for m in rules.mute], f"{column} string"), column, "left_anti")
+        out = out.join(spark.createDataFrame(pa.table({column: list(rules.mute)})), column, "left_anti")
     return out
 
 
