@@ -3,15 +3,16 @@
 A text is cut by the vocabulary's pattern; the bytes of each part are a doubly linked list of symbols, and a
 heap holds the merges of neighbours by (rank, place).  An entry whose symbols have changed since is stale
 and skipped when it comes up.  Parts recur: those of a batch of texts are found by numpy on code points, told apart by 64-bit
-hashes and merged once each (a text that doesn't decode to itself is done again without hashes); a worker keeps the tokens of the parts it has met, up to a fixed number.  No shuffle; the vocabulary file (under 1 MB) is read on the driver and broadcast.
+hashes and merged once each, many in step (a text that doesn't decode to itself is done again without hashes); a worker keeps the tokens of the parts it has met, up to a fixed number.  No shuffle; the vocabulary file (under 1 MB) is read on the driver and broadcast.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,8 @@ from tidewheel.llm import kernel as K
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEEP = 300_000
+KEEP = 600_000
+STEPS = 64
 PORTION = 1 << 20
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
@@ -42,6 +44,13 @@ class Codec(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, keep: int = KEEP) -> None:
         super().__init__()
         self.ranks, self.keep, self.pattern = ranks, keep, pattern
+        self.older: dict[str, bytes] = {}
+        self.bytes = [ranks.get(bytes([a]), -1) for a in range(256)]
+        self.pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.bytes_array, self.pairs_array = np.array(self.bytes), np.array(self.pairs).reshape(256, 256)
+        halves = {ranks[x[:k]] << 24 | ranks[x[k:]]: rank for x, rank in ranks.items() for k in range(1, len(x)) if x[:k] in ranks and x[k:] in ranks}
+        self.pair_keys = pd.Index(np.array([*halves, -1], dtype=np.int64))
+        self.pair_ranks = np.array([*halves.values(), -1], dtype=np.int64)
         self.compiled = regex.compile(pattern)
         strings = {i: s for s, i in ranks.items()}
         self.size = max(strings, default=-1) + 1
@@ -51,48 +60,121 @@ class Codec(dict):
         self.known = np.array([i in strings for i in range(self.size)], dtype=bool)
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.keep:
+        self._learn([part])
+        return dict.__getitem__(self, part)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Keep the tokens of parts not met before; what isn't met again in a while goes, the rest comes back from ``older``."""
+        if len(self) + len(parts) > self.keep // 2:
+            self.older = dict(self)
             self.clear()
-        packed = np.array(self.merge(part.encode("utf-8", "surrogatepass")), dtype=np.int32).tobytes()
-        self[part] = packed
-        return packed
+        fresh = []
+        for part in parts:
+            packed = self.older.get(part)
+            if packed is None:
+                fresh.append(part)
+            else:
+                self[part] = packed
+        words = [part.encode("utf-8", "surrogatepass") for part in fresh]
+        self.update(zip(fresh, self.merge_all(words)))
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word: those of ``merge``, with the queues of all words of about one length run in step."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        for low, high in zip((0, 8, 16, 32), (8, 16, 32, STEPS)):
+            some = np.flatnonzero((sizes > low) & (sizes <= high))
+            for a in range(0, len(some), 5_000):
+                own = some[a : a + 5_000].tolist()
+                flat, count = self._in_step([words[k] for k in own], high)
+                raw, ends = flat.tobytes(), (4 * np.cumsum(count)).tolist()
+                for k, start, end in zip(own, [0, *ends], ends):
+                    out[k] = raw[start:end]
+        for k in np.flatnonzero(sizes > STEPS).tolist():
+            out[k] = array("i", self.merge(words[k])).tobytes()
+        return out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the two symbols put together, -1 where the vocabulary has no such string."""
+        at = self.pair_keys.get_indexer(left << 24 | right)
+        return np.where(at >= 0, self.pair_ranks[at], -1)
+
+    def _in_step(self, words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, how many each has) of words of at most ``n`` bytes.
+
+        As in ``merge``, each word has a doubly linked list of symbols and a priority queue of (rank, place, end); here the queue is a row of numbers, from which
+        every round takes the least.  An entry whose symbols have changed since is stale and skipped.
+        """
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        text = np.frombuffer(b"".join([w.ljust(n, b"\0") for w in words]), np.uint8).reshape(-1, n)
+        row, place, none = np.arange(len(words)), np.arange(n), np.iinfo(np.int64).max
+        ids = np.zeros((len(words), n + 1), dtype=np.int64)  # column n stands for the end
+        ids[:, :n] = self.bytes_array[text]
+        after = np.full((len(words), n + 1), -2, dtype=np.int64)  # start of the next symbol, n at the end; -1 of a symbol that has been merged
+        after[:, :n] = np.where(place + 1 < size[:, None], place + 1, n)
+        before = np.broadcast_to(np.arange(-1, n), (len(words), n + 1)).copy()
+        queue = np.full((len(words), 2 * n), none, dtype=np.int64)
+        if n > 1:
+            rank = self.pairs_array[text[:, :-1], text[:, 1:]]
+            known = (rank >= 0) & (place[1:] < size[:, None])
+            queue[:, : n - 1] = np.where(known, rank << 16 | place[:-1] << 8 | np.take_along_axis(after, np.maximum(after[:, : n - 1], 0), 1), none)
+        more = np.full(len(words), n - 1)  # the next free place of a queue
+        while len(row):
+            at = queue[row].argmin(1) if len(row) < len(words) else queue.argmin(1)
+            entry = queue[row, at]
+            some = entry < none
+            row, at, entry = row[some], at[some], entry[some]
+            queue[row, at] = none
+            i, end = entry >> 8 & 255, entry & 255
+            j = after[row, i]
+            live = (j >= 0) & (j < n)
+            live[live] = after[row[live], j[live]] == end[live]
+            r, i, j, end, got, slot = row[live], i[live], j[live], end[live], entry[live] >> 16, at[live]
+            ids[r, i], after[r, i], after[r, j], before[r, end] = got, end, -1, i
+            right = np.where(end < n, self._rank(got, ids[r, end]), -1)
+            use = right >= 0
+            queue[r[use], slot[use]] = right[use] << 16 | i[use] << 8 | after[r[use], end[use]]
+            p = before[r, i]
+            left = np.where(p >= 0, self._rank(ids[r, p], got), -1)
+            use = left >= 0
+            queue[r[use], more[r[use]]] = left[use] << 16 | p[use] << 8 | end[use]
+            more[r[use]] += 1
+        symbol = (after[:, :n] >= 0) & (place < size[:, None])
+        return ids[:, :n][symbol].astype(np.int32), symbol.sum(1)
 
     def merge(self, word: bytes) -> list[int]:
-        ranks = self.ranks
-        whole = ranks.get(word)
+        get = self.ranks.get
+        whole = get(word)
         if whole is not None:
             return [whole]
-        n = len(word)
-        after = list(range(1, n + 1))  # start of the next symbol, which is where this one ends
+        n, pairs = len(word), self.pairs
+        ids = [self.bytes[c] for c in word]  # of the symbol that starts here
+        after = list(range(1, n + 1))  # start of the next symbol, which is where this one ends; -1 of one that has been merged
         before = list(range(-1, n - 1))
-        live = [True] * n
-        heap = []
-        for i in range(n - 1):
-            rank = ranks.get(word[i : i + 2])
-            if rank is not None:
-                heap.append((rank, i, i + 1, i + 2))
-        heapq.heapify(heap)
+        bits = n.bit_length()
+        mask, wide = (1 << bits) - 1, 2 * bits
+        # an entry is one number: rank (which is the id), start, end of the merged symbol
+        heap = [rank << wide | i << bits | i + 2 for i, rank in enumerate([pairs[a << 8 | b] for a, b in zip(word, word[1:])]) if rank >= 0]
+        heapify(heap)
         while heap:
-            _, i, j, end = heapq.heappop(heap)
-            if not live[i] or after[i] != j or not live[j] or after[j] != end:
-                continue  # stale: a neighbour was merged meanwhile
-            live[j] = False
-            after[i] = end
+            entry = heappop(heap)
+            i, end = entry >> bits & mask, entry & mask
+            j = after[i]
+            if j < 0 or j >= n or after[j] != end:
+                continue  # stale: one of the two was merged meanwhile
+            ids[i], after[i], after[j] = entry >> wide, end, -1
             if end < n:
                 before[end] = i
-                rank = ranks.get(word[i : after[end]])
+                stop = after[end]
+                rank = get(word[i:stop])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, i, end, after[end]))
+                    heappush(heap, rank << wide | i << bits | stop)
             p = before[i]
             if p >= 0:
-                rank = ranks.get(word[p:end])
+                rank = get(word[p:end])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, p, i, end))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[word[i : after[i]]])
-            i = after[i]
-        return out
+                    heappush(heap, rank << wide | p << bits | end)
+        return [x for x, stop in zip(ids, after) if stop >= 0]
 
     def split(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """(all texts in one, starts of the parts, hashes of the parts, number of parts of each text)."""
@@ -114,7 +196,9 @@ class Codec(dict):
         same, kinds = pd.factorize(hashes)
         first = np.empty(len(kinds), dtype=np.int64)
         first[same[::-1]] = np.arange(len(same) - 1, -1, -1)
-        return [self[whole[a:z]] for a, z in zip(starts[first].tolist(), ends[first].tolist())], same, np.concatenate([[0], np.cumsum(per_text)])
+        parts = [whole[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist())]
+        self._learn([p for p in parts if p not in self])
+        return [self[p] for p in parts], same, np.concatenate([[0], np.cumsum(per_text)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each text has."""
