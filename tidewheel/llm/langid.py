@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ NOISE = 2.0
 def _letters() -> np.ndarray:
     """Code point -> the lower-case letter's code point, or a space."""
     table = np.full(0x110000, 32, dtype=np.uint32)
-    for c in range(0x110000):
+    for c in range(0x40000):  # no planes beyond hold letters
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -81,7 +82,7 @@ def bundle(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros((n, DIM), dtype=np.float32)
     if not len(codes):
         return total
-    kinds, at = np.unique(codes, return_inverse=True)
+    at, kinds = pd.factorize(codes)
     for low in range(0, len(kinds), BLOCK):
         part = kinds[low : low + BLOCK]
         here = (at >= low) & (at < low + len(part))
