@@ -32,6 +32,7 @@ def test_recall_on_more_vectors(spark):
 def test_recall_over_many_cells(spark, monkeypatch):
     """Coarse cells with copies at their boundaries, in portions: as tables of millions of vectors are searched."""
     monkeypatch.setattr(A, "cell_count", lambda n: 5)
+    monkeypatch.setattr(A, "centre_count", lambda n: 40)
     assert recall(spark, "/root/testdata/sf0.1/embeddings.parquet") >= 0.9
 
 
@@ -84,6 +85,16 @@ def test_search_is_exact_within_the_lists_read():
     assert len(everything) > 20 and all(cell.found[r].tolist() == best[r] for r in everything)
 
 
+def test_cells_are_groups_of_neighbours_of_equal_weight():
+    rng = np.random.default_rng(9)
+    points = np.concatenate([rng.normal(size=(50, 4)), rng.normal(size=(50, 4)) + 20]).astype(np.float32)
+    cell = A.cells_of(points, np.full(100, 7.0), 4)
+    assert np.bincount(cell).tolist() == [25] * 4 and not set(cell[:50]) & set(cell[50:])
+    assert A.cells_of(points[:1], np.ones(1), 9).tolist() == [0] and sorted(A.cells_of(points[:3], np.zeros(3), 9)) == [0, 1, 2]
+    row, where = A.cells_near(A.Graph(points), cell, points[:10])
+    assert where[np.searchsorted(row, np.arange(10))].tolist() == cell[:10].tolist() and len(set(zip(row, where))) == len(row)
+
+
 def test_lists_are_balanced():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(size=(3000, 8)), 0.01 * rng.normal(size=(3000, 8)) + 5]).astype(np.float32)

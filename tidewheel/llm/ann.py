@@ -1,8 +1,8 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-1. *Cells.*  ``cell_count(N)`` coarse centres (N^(2/3) / 345) by k-means over all vectors.  The centres and a neighbour
-   graph over them are what is broadcast; a vector goes to the cell of its nearest centre, and a boundary vector also,
-   as a copy, to every cell whose centre is at most ``CELL_RATIO`` times as far.  That is the one shuffle of vectors.
+1. *Cells.*  sqrt(N) centres by balanced k-means over all vectors, of which neighbouring ones form ``cell_count(N)`` cells (N^(2/3) / 345).
+   The centres and a neighbour graph over them are what is broadcast; a vector goes to the cell of its nearest centre, and a boundary
+   vector also, as a copy, to every cell with a centre at most ``CELL_RATIO`` times as far.  That is the one shuffle of vectors.
 2. *Lists.*  The vectors at home in a cell are clustered by balanced k-means into lists of about ``LIST``; their
    centroids are held in a graph in memory.  Every vector that reaches the cell is posted to its nearest list and, at a
    boundary, to all lists at most ``POST_RATIO`` times as far.
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from tidewheel.session import cut
 
 K_NEAREST = 10
-ROUNDS = 3
+ROUNDS = 2
 CELL_RATIO = 1.1
 POST_RATIO = 1.05
-SEARCH_RATIO = 1.17
+SEARCH_RATIO = 1.2
 LIST = 128
 LEAST = 8
 DEGREE = 6
@@ -43,6 +43,11 @@ def cell_count(n: int) -> int:
     return max(1, round(n ** (2 / 3) / 345))
 
 
+def centre_count(n: int) -> int:
+    """Centres that route ``n`` vectors to cells; many to a cell, so that they tell boundaries apart."""
+    return max(1, round(n**0.5))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
@@ -172,8 +177,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return clean.where(F.size("embedding") == (usual[0]["dim"] if usual else 0))
 
 
-def centroids(base: DataFrame, count: int, dim: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Balanced k-means over all vectors, from those of the smallest id hashes on.
+def centroids(base: DataFrame, count: int, dim: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, vectors of each) by balanced k-means over all vectors, from those of the smallest id hashes on.
 
     A full cluster costs a vector more than an empty one, and centres of very small clusters move into very large ones.
     """
@@ -189,7 +194,7 @@ def centroids(base: DataFrame, count: int, dim: int, rounds: int = ROUNDS) -> np
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 x = matrix(batch.column(0))
-                row, cell, d = graph.within(x, CELL_RATIO)
+                row, cell, d = graph.within(x, POST_RATIO)
                 if not len(row):
                     continue
                 charge = d + cost * full[cell]
@@ -222,7 +227,26 @@ def centroids(base: DataFrame, count: int, dim: int, rounds: int = ROUNDS) -> np
         weight = 0.05 * spread / size.mean()
         points = _moved(points, size, spread, rng)
         shared.unpersist()
-    return points
+    return points, size
+
+
+def cells_of(points: np.ndarray, size: np.ndarray, count: int) -> np.ndarray:
+    """The cell of each centre: ``count`` groups of neighbours with about equally many vectors, by halving along the widest direction."""
+    out, waiting, name = np.zeros(len(points), dtype=np.int64), [(np.arange(len(points)), min(count, len(points)))], 0
+    while waiting:
+        own, parts = waiting.pop()
+        if parts == 1:
+            out[own] = name
+            name += 1
+            continue
+        gap = points[own] - points[own].mean(0)
+        direction = np.linalg.svd(gap, full_matrices=False)[2][0]
+        order = own[np.argsort(gap @ direction, kind="stable")]
+        weight = np.cumsum(size[order] + 1e-9)
+        left = parts // 2
+        cut_at = int(np.clip(np.searchsorted(weight, weight[-1] * left / parts) + 1, left, len(own) - (parts - left)))
+        waiting += [(order[:cut_at], left), (order[cut_at:], parts - left)]
+    return out
 
 
 def _moved(points: np.ndarray, size: np.ndarray, spread: float, rng: np.random.Generator) -> np.ndarray:
@@ -369,6 +393,14 @@ class Cell:
             )
 
 
+def cells_near(graph: Graph, cell_of: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, cell): the cells that each vector goes to, by vector, its home first."""
+    row, centre, _ = graph.within(x, CELL_RATIO)
+    key = row * (int(cell_of.max()) + 1) + cell_of[centre]
+    first = np.sort(np.unique(key, return_index=True)[1])
+    return row[first], cell_of[centre[first]]
+
+
 RESULT = "vec_id long, neighbours array<long>, distances array<double>, lists_read int, compared long"
 
 
@@ -389,16 +421,18 @@ def nearest_neighbours(vectors: DataFrame, k: int = K_NEAREST) -> DataFrame:
     if not total:
         return spark.createDataFrame([], RESULT)
     dim = base.select(F.size("embedding")).first()[0]
-    points = centroids(base, cell_count(total), dim)
-    shared = spark.sparkContext.broadcast(Graph(points))
+    points, size = centroids(base, centre_count(total), dim)
+    cell_of = cells_of(points, size, cell_count(total))
+    cells = int(cell_of.max()) + 1
+    shared = spark.sparkContext.broadcast((Graph(points), cell_of))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 4096):
                 batch = whole.slice(a, 4096)
                 x = matrix(batch.column(1))
-                row, cell, _ = shared.value.within(x, CELL_RATIO)
-                copy = np.concatenate([[False], row[1:] == row[:-1]]) if len(row) else np.zeros(0, bool)  # the nearest cell comes first
+                row, cell = cells_near(*shared.value, x)
+                copy = np.concatenate([[False], row[1:] == row[:-1]]) if len(row) else np.zeros(0, bool)  # the home comes first
                 yield pa.record_batch(
                     [pa.array(cell.astype(np.int32)), pa.array(copy), batch.column(0).take(pa.array(row)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]))]).cast(pa.binary())],
                     names=["cell", "copy", "vec_id", "v"],
@@ -443,5 +477,5 @@ def nearest_neighbours(vectors: DataFrame, k: int = K_NEAREST) -> DataFrame:
             offer()
             yield from cell.answers()
 
-    routed = base.mapInArrow(route, "cell int, copy boolean, vec_id long, v binary").repartitionById(len(points), F.col("cell")).sortWithinPartitions("cell", "copy")
+    routed = base.mapInArrow(route, "cell int, copy boolean, vec_id long, v binary").repartitionById(cells, F.col("cell")).sortWithinPartitions("cell", "copy")
     return routed.mapInArrow(answer, RESULT)
