@@ -23,12 +23,12 @@ def test_rules(spark):
     assert canonical(df, Rules({"gen ai": "genai"}, ("gen ai",))).count() == 4
 
 
-def test_large_rules_are_joined(spark, monkeypatch):
-    from tidewheel.operators import rules
-
-    monkeypatch.setattr(rules, "INLINE", 0)
-    df = spark.createDataFrame([("Gen AI",), ("x",)], "keyword string")
-    assert [r.keyword for r in canonical(df, Rules({"gen ai": "genai"}, ("x",))).collect()] == ["genai"]
+@pytest.mark.parametrize("more", [0, 5000])
+def test_rules_of_any_number(spark, more):
+    df = spark.createDataFrame([("Gen AI",), ("x",), ("a7",), ("m7",)], "keyword string")
+    aliases = {"gen ai": "genai"} | {f"a{k}": f"b{k}" for k in range(more)}
+    got = [r.keyword for r in canonical(df, Rules(aliases, ("x", *(f"m{k}" for k in range(more))))).collect()]
+    assert sorted(got) == (["b7", "genai"] if more else ["a7", "genai", "m7"])
 
 
 @pytest.mark.parametrize("now, before, out", [(3, 1, True), (9, 3, True), (10, 4, False), (2, 0, False), (3, 0, True), (5, 5, False), (2, 1, False)])

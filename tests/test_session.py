@@ -27,7 +27,7 @@ def test_a_cluster_has_to_name_a_folder(master):
 def test_cut_keeps_rows_and_schema(spark):
     df = spark.range(20).selectExpr("id", "array(id, null) AS a", "cast(id AS string) AS s", "named_struct('x', id) AS t")
     again = session.cut(df)
-    assert [f.dataType for f in again.schema] == [f.dataType for f in df.schema] and sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
+    assert again.dtypes == df.dtypes and sorted(map(str, again.collect())) == sorted(map(str, df.collect()))
     assert session.cut(df.where("false")).count() == 0
     root = session.ensure_checkpoint_dir(spark).removeprefix("file:")
     assert os.path.isdir(root) and any(name.startswith("cut-") for name in os.listdir(root))
