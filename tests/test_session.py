@@ -1,6 +1,7 @@
 """The shared folder: named by the cluster, refused where a cluster names none, and emptied at the end."""
 
 import os
+import time
 from types import SimpleNamespace as Stub
 
 import pytest
@@ -33,3 +34,22 @@ def test_cut_keeps_rows_and_schema(spark):
     assert os.path.isdir(root) and any(name.startswith("cut-") for name in os.listdir(root))
     plan = again._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan and "parquet" in plan.lower()
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    """They go when the table is written, and the table when it is discarded, not when the driver collects its garbage."""
+    from pyspark.sql import functions as F
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(k)) for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    kept = session.cut(spark.range(5000).repartition(7, "id").withColumn("k", F.col("id") % 3))
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and kept.count() == 5000
+    session.discard(kept)
+    assert not os.path.exists(kept.cut_at.removeprefix("file:"))
