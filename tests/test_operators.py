@@ -245,3 +245,19 @@ def test_ingest(spark):
     assert again.count() == 0
     assert ingest.new_items(raw, truth, F.lit("x"), cap=1).count() == 1
     assert udfs.simhash("T") == got["T"].content_hash
+
+
+def test_keywords_of_a_long_text_take_no_quadratic_time():
+    """A text of very many different words; a tie is ordered by the phrase."""
+    from time import process_time
+
+    began = process_time()
+    assert len(extract.score_phrases(" ".join(f"word{k}" for k in range(30_000)))) == 8
+    assert process_time() - began < 8
+    assert extract.score_phrases("bb aa. bb aa.", 3) == ["bb aa", "aa", "bb"]
+
+
+def test_fallback_scores_a_text_once(spark):
+    items = spark.createDataFrame([(1, "Alpha beta", "gamma")], "item_id long, title string, summary string")
+    found = extract.extract(items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and found.count() == 4

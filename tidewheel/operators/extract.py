@@ -5,11 +5,13 @@ A model is any function from a list of items to a reply text; without one the fa
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,48 +73,44 @@ def score_phrases(text: str, top: int = KEEP, longest: int = 3) -> list[str]:
     Ties are ordered by the phrase.
     """
     sentences = [re.findall(r"\w[\w'-]*", s) for s in re.split(r"[.!?\n]+", text)]
-    words = [w.lower() for s in sentences for w in s]
-    if not words:
+    lows = [[w.lower() for w in s] for s in sentences]
+    count = Counter(chain.from_iterable(lows))
+    if not count:
         return []
-    count = Counter(words)
     content = [n for w, n in count.items() if w not in STOP]
     mean = sum(content) / len(content) if content else 1.0
     deviation = math.sqrt(sum((n - mean) ** 2 for n in content) / len(content)) if content else 0.0
-    upper, where, left, right = Counter(), {}, {}, {}
-    for k, s in enumerate(sentences):
-        for i, w in enumerate(s):
-            low = w.lower()
-            where.setdefault(low, []).append(k)
-            upper[low] += w[0].isupper() and i > 0
-            if i:
-                left.setdefault(low, Counter())[s[i - 1].lower()] += 1
-                right.setdefault(s[i - 1].lower(), Counter())[low] += 1
+    upper, where = Counter(), {w: [] for w in count}
+    for k, (s, low) in enumerate(zip(sentences, lows)):
+        upper.update([x for w, x in zip(s[1:], low[1:]) if w[0].isupper()])
+        for w in low:
+            where[w].append(k)
+    phrases: Counter[tuple[str, ...]] = Counter()
+    for n in range(1, longest + 1):
+        phrases.update(chain.from_iterable(zip(*(low[i:] for i in range(n))) for low in lows))
+    # of what stands before and after a word, how many kinds there are and how many in all
+    pairs = set(chain.from_iterable(zip(low, low[1:]) for low in lows))
+    before, after = Counter([w for _, w in pairs]), Counter([w for w, _ in pairs])
+    preceded, followed = Counter(chain.from_iterable(low[1:] for low in lows)), Counter(chain.from_iterable(low[:-1] for low in lows))
+    most, total = max(count.values()), len(sentences)
 
     def weight(w: str) -> float:
-        places = sorted(where[w])
+        places = where[w]
         position = math.log(math.log(3 + places[len(places) // 2]))
         casing = upper[w] / (1 + math.log(count[w]))
         frequency = count[w] / (mean + deviation)
-        l, r = left.get(w, Counter()), right.get(w, Counter())
-        relation = 1 + sum((len(c) / sum(c.values()) if c else 0) * count[w] / max(count.values()) for c in (l, r))
-        spread = len(set(places)) / len(sentences)
+        relation = 1 + sum((kinds[w] / all_[w] if all_[w] else 0) * count[w] / most for kinds, all_ in ((before, preceded), (after, followed)))
+        spread = len(set(places)) / total
         return relation * position / (casing + frequency / relation + spread / relation)
 
-    weights = {w: weight(w) for w in count}
-    phrases: Counter[tuple[str, ...]] = Counter()
-    for s in sentences:
-        low = [w.lower() for w in s]
-        for n in range(1, longest + 1):
-            for i in range(len(low) - n + 1):
-                part = tuple(low[i : i + n])
-                if part[0] not in STOP and part[-1] not in STOP and all(len(w) > 1 or n > 1 for w in part):
-                    phrases[part] += 1
-
-    def score(part: tuple[str, ...]) -> float:
-        own = [weights[w] for w in part if w not in STOP]
-        return math.prod(own) / (phrases[part] * (1 + sum(own)))
-
-    best = sorted(phrases, key=lambda p: (round(score(p), 9), p))
+    weights = {w: weight(w) for w in count if w not in STOP}
+    scores = {}
+    for part, n in phrases.items():
+        if part[0] in weights and part[-1] in weights and (len(part) > 1 or len(part[0]) > 1):
+            own = [weights[w] for w in part if w in weights]
+            scores[part] = math.prod(own) / (n * (1 + sum(own)))
+    worst = max(heapq.nsmallest(top, scores.values()), default=0.0)
+    best = sorted((p for p, x in scores.items() if x <= worst + 2e-9), key=lambda p: (round(scores[p], 9), p))  # ties of rounded scores too
     return [" ".join(p) for p in best[:top]]
 
 
@@ -129,6 +127,10 @@ def fallback_keywords(column: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.string()))
 
 
+#: Else the filter that Spark infers from an explode is pushed below and scores every text a second time.
+fallback_keywords = fallback_keywords.asNondeterministic()
+
+
 def valid_reply(text: str, rows: list[dict]) -> bool:
     """What ``checked_replies`` accepts, for one reply: a JSON array that names each asked item once and nothing else, every keyword usable."""
     bare = re.sub(r"^\s*```[A-Za-z]*\s*|\s*```\s*$", "", text)
