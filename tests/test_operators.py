@@ -261,3 +261,20 @@ def test_fallback_scores_a_text_once(spark):
     items = spark.createDataFrame([(1, "Alpha beta", "gamma")], "item_id long, title string, summary string")
     found = extract.extract(items)
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and found.count() == 4
+
+
+def test_pairs_of_one_hash_are_spread(spark, monkeypatch):
+    """All pairs of many equal hashes, near ones and repeated rows, in several tasks."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rows = [(k, f"{7 if k < 40 else 6 if k < 55 else 1 << k % 60:016x}") for k in range(70)] + [(3, f"{7:016x}"), (60, f"{6:016x}")]
+    want = sorted((*sorted((a, b)), (int(x, 16) ^ int(y, 16)).bit_count()) for k, (a, x) in enumerate(rows) for b, y in rows[k + 1 :] if a != b and (int(x, 16) ^ int(y, 16)).bit_count() <= 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = neardup.near_pairs(spark.createDataFrame(rows, "item_id long, content_hash string"), 1)
+        assert sorted(map(tuple, found.collect())) == want
+        one = found.where("distance = 0 AND id_a < 40 AND id_b < 40")
+        assert one.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

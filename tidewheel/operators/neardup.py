@@ -11,6 +11,7 @@ from tidewheel.functions.text import hamming, simhash_bigint
 
 PAGE_DISTANCE = 3
 GROUP_DISTANCE = 12
+BLOCK = 2_000
 
 
 def greedy(hashes: np.ndarray, limit: int) -> np.ndarray:
@@ -69,6 +70,9 @@ def near_pairs(items: DataFrame, limit: int = PAGE_DISTANCE, key: str = "item_id
 
     ``limit`` + 1 bands of 64 bits: two hashes within ``limit`` agree in one band at least, so an equi-join on (band, value) is
     exact; equal hashes are joined once per distinct hash, not once per row.
+
+    Pairs of ids may be very many where many share a hash.  The ids of a hash stand in blocks of about ``BLOCK``, and two near
+    hashes give a grid of cells, each of two blocks; a cell is one key of the last join, so no task has more than some cells.
     """
     bands = limit + 1
     width = 64 // bands
@@ -84,6 +88,12 @@ def near_pairs(items: DataFrame, limit: int = PAGE_DISTANCE, key: str = "item_id
     other = cut.select(F.col("h").alias("h2"), "band", "value")
     near = cut.join(other, ["band", "value"]).where((F.col("h") < F.col("h2")) & (hamming(F.col("h"), F.col("h2")) <= limit)).select("h", "h2").distinct()
     same = kinds.select("h", F.col("h").alias("h2"))
-    both = near.unionAll(near.select(F.col("h2").alias("h"), F.col("h").alias("h2"))).unionAll(same)
-    left, right = rows.select(F.col("id").alias("id_a"), "h"), rows.select(F.col("id").alias("id_b"), F.col("h").alias("h2"))
-    return left.join(both, "h").join(right, "h2").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b", hamming(F.col("h"), F.col("h2")).alias("distance"))
+    sizes = rows.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    both = near.unionAll(same).join(sizes, "h").join(sizes.select(F.col("h").alias("h2"), F.col("n").alias("n2")), "h2")
+    rank = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = both.select("h", "h2", "n2", rank("n").alias("i")).select("h", "h2", "i", rank("n2").alias("j")).where("h <> h2 OR i <= j")
+    placed = rows.join(sizes, "h").select("id", "h", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("i"))
+    left = placed.withColumnRenamed("id", "a").join(cells, ["h", "i"])
+    right = placed.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("i").alias("j")).join(cells, ["h2", "j"])
+    pairs = left.join(right, ["h", "i", "h2", "j"]).where("a < b OR a > b AND (h <> h2 OR i <> j)")
+    return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), hamming(F.col("h"), F.col("h2")).alias("distance"))
